@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("journey", "members")
+MODULES = ("basics", "journey", "members")
 
 
 def load_all() -> None:
