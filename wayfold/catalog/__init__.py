@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("basics", "journey", "members")
+MODULES = ("basics", "relations", "profile", "journey", "members")
 
 
 def load_all() -> None:
