@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("basics", "relations", "profile", "journey", "members")
+MODULES = ("basics", "relations", "profile", "scalars", "journey", "members", "modelling", "content")
 
 
 def load_all() -> None:
