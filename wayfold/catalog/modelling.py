@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.catalog.profile import FEATURES, conversion_twin
@@ -13,6 +14,7 @@ from wayfold.catalog.registry import query, rounded
 from wayfold.catalog.relations import HOLIDAYS_SQL, YEARS
 from wayfold.operators import impute, metrics, sampling
 from wayfold.operators.calendar import us_holidays
+from wayfold.operators.correlation import corr_with_target
 from wayfold.plans import conversion, model
 from wayfold.sources.fitted import load_model, save_model
 from wayfold.storage import cut, scratch_path
@@ -164,11 +166,15 @@ def stratified_split(t: Inputs) -> DataFrame:
 
 # --- selection and metrics -------------------------------------------------
 
-_PAIRS = [(a, b) for a in (*FEATURES, "won") for b in (*FEATURES, "won") if a != b]
-_R_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM conversion" for a, b in _PAIRS)
+# Two features that repeat others, so that the filter has something to reject.
+REPEATS = {"balance_size": "coalesce(balance, 0) + size_score * 20", "late_value": "home_value * 3 + tax * 900"}
+SELECTABLE = (*FEATURES, *REPEATS)
+_WIDE = "SELECT *, " + ", ".join(f"{sql} AS {name}" for name, sql in REPEATS.items()) + " FROM conversion"
+_PAIRS = [(a, b) for a in (*SELECTABLE, "won") for b in (*SELECTABLE, "won") if a != b]
+_R_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM wide" for a, b in _PAIRS)
 
 
-@query("mrmr_select", """WITH RECURSIVE """ + conversion_twin("", r=_R_SQL).removeprefix("WITH ").rstrip() + """,
+@query("mrmr_select", """WITH RECURSIVE """ + conversion_twin("", wide=_WIDE, r=_R_SQL).removeprefix("WITH ").rstrip() + """,
     ranked AS (SELECT a AS feature, r AS strength, row_number() OVER (ORDER BY r DESC, a) AS i FROM r WHERE b = 'won'),
     step AS (
         SELECT CAST(1 AS BIGINT) AS i, [feature] AS kept FROM ranked WHERE i = 1
@@ -179,7 +185,8 @@ _R_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b}))
         FROM step s JOIN ranked c ON c.i = s.i + 1)
     SELECT unnest(kept) AS feature FROM step WHERE i = (SELECT max(i) FROM ranked)""")
 def mrmr_select(t: Inputs) -> DataFrame:
-    kept = conversion.select_features(t.conversion, "won", list(FEATURES), 0.0, 0.7)
+    rows = t.conversion.withColumns({name: F.expr(sql) for name, sql in REPEATS.items()})
+    kept = conversion.select_features(rows, "won", list(SELECTABLE), 0.0, 0.7)
     return t.spark.createDataFrame([(f,) for f in kept], "feature string")
 
 
@@ -336,14 +343,11 @@ def rfe_sweep(t: Inputs) -> DataFrame:
 
 @query("top_features", twin("""SELECT feature, CAST(rank AS BIGINT) AS rank FROM (
     SELECT a AS feature, row_number() OVER (ORDER BY r DESC, a) AS rank FROM r WHERE b = 'won') x WHERE rank < 4""",
-    "conversion", r=_R_SQL))
+    "conversion", wide=_WIDE, r=_R_SQL))
 def top_features(t: Inputs) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    from wayfold.operators.correlation import corr_with_target
-
     # One row per feature is ranked, however many rows were correlated.
-    strength = corr_with_target(t.conversion, list(FEATURES), "won")
+    rows = t.conversion.withColumns({name: F.expr(sql) for name, sql in REPEATS.items()})
+    strength = corr_with_target(rows, list(SELECTABLE), "won")
     order = W.partitionBy(F.lit(1)).orderBy(F.abs("r").desc(), F.col("feature"))
     ranked = strength.select("feature", F.row_number().over(order).cast("long").alias("rank"))
     return model.top_features(ranked, "rank", 4)

@@ -29,6 +29,11 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
+def fits_one_task(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
+    """Whether no group has more than ``limit`` rows; no limit means known to fit."""
+    return limit is None or largest_group(df, keys) <= limit
+
+
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     condition = F.lit(True)
     for c in columns:
@@ -41,11 +46,11 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[Column],
     measures: Mapping[str, Column],
-    limit: int = GROUP_LIMIT,
+    limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Add inclusive running sums of ``measures`` within ``keys`` in ``order``."""
     keys = list(keys)
-    if largest_group(df, keys) <= limit:
+    if fits_one_task(df, keys, limit):
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumns({name: F.sum(m).over(w) for name, m in measures.items()})
     return _split_running_totals(df, keys, order, measures, limit)
@@ -88,7 +93,7 @@ def _split_running_totals(df, keys, order, measures, limit):
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn", limit: int = GROUP_LIMIT
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn", limit: int | None = GROUP_LIMIT
 ) -> DataFrame:
     """Number the rows of each group from 1 in ``order`` (give a unique order)."""
     return running_totals(df, keys, order, {name: F.lit(1).cast("long")}, limit)
@@ -100,10 +105,10 @@ def leads(
     order: Sequence[Column],
     columns: Sequence[str],
     steps: Sequence[int] = (1, 2),
-    limit: int = GROUP_LIMIT,
+    limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Add ``<column>_lead<n>``: the value ``n`` rows later in the group."""
-    if largest_group(df, keys) <= limit:
+    if fits_one_task(df, keys, limit):
         w = W.partitionBy(*keys).orderBy(*order)
         return df.withColumns({f"{c}_lead{n}": F.lead(c, n).over(w) for n in steps for c in columns})
     # Large groups: number the rows, offer each one to the rows ``n`` places
