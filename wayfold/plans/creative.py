@@ -61,8 +61,6 @@ BODY_TYPES = {
 }
 OTHERS = "Others"
 
-RECORD_SCHEMA = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in RECORD_FIELDS])
-
 
 def parse_records(df: DataFrame, json: str, file_name: str) -> DataFrame:
     """JSON replies to 19 typed fields: defaults, file name, upper case.
