@@ -54,19 +54,21 @@ def creative_record_parse(t: Inputs) -> DataFrame:
     return creative.parse_records(replies, "reply", "path")
 
 
-def _label_sql(labels: dict[str, str]) -> str:
-    return sql_case([(f"regexp_matches(text, '(?i)({words})')", f"'{label}'") for label, words in labels.items()], "'Others'")
+def _label_sql(labels: dict[str, tuple[str, ...]]) -> str:
+    arms = [(" OR ".join(f"contains(low, '{w}')" for w in words), f"'{label}'") for label, words in labels.items()]
+    return sql_case(arms, "'Others'")
 
 
 @query("creative_text_features", f"""SELECT doc_id, CAST(length(split_part(text, chr(10), 1)) AS INT) AS subject_length,
     CAST(length(substr(text, length(split_part(text, chr(10), 1)) + 2)) AS INT) AS body_length,
-    pct <> '' OR amt <> '' OR fre AS offer_flag,
-    CASE WHEN pct <> '' OR amt <> '' THEN 'Discount Offer' WHEN fre THEN 'Free Item Offer' ELSE 'No Offer' END AS offer_type,
+    pct <> '' OR amt <> '' OR contains(low, 'free') AS offer_flag,
+    CASE WHEN pct <> '' OR amt <> '' THEN 'Discount Offer' WHEN contains(low, 'free') THEN 'Free Item Offer'
+        ELSE 'No Offer' END AS offer_type,
     CASE WHEN pct <> '' THEN concat(pct, '%') WHEN amt <> '' THEN concat('$', amt) ELSE '0' END AS offer_value,
-    regexp_matches(text, '(?i)order now') AS cta_order_now, regexp_matches(text, '(?i)visit') AS cta_visit_restaurant,
+    contains(low, 'order now') AS cta_order_now, contains(low, 'visit') AS cta_visit_restaurant,
     {", ".join(f"{_label_sql(labels)} AS {name}" for name, labels in LABEL_SETS)}
     FROM (SELECT *, regexp_extract(text, '([0-9]+)\\s?%', 1) AS pct, regexp_extract(text, '[$]\\s?([0-9]+)', 1) AS amt,
-        regexp_matches(text, '(?i)free') AS fre FROM documents) d""")
+        lower(text) AS low FROM documents) d""")
 def creative_text_features(t: Inputs) -> DataFrame:
     return creative.text_features(t.documents.select("doc_id", "text"), "text")
 

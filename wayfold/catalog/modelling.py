@@ -81,21 +81,21 @@ _SHOW = "SELECT opportunityid, " + ", ".join(f"round({c}, 4) AS {c}" for c in _M
     f"SELECT opportunityid, {', '.join(f'round({c}, 4) AS {c}' for c in _MED)} FROM f",
     f=level_fill_sql("conversion", "county", _MED)))
 def group_fill_median(t: Inputs) -> DataFrame:
-    rows = t.conversion.select("opportunityid", "county", *_MED)
+    rows = t.stored("conversion", "opportunityid", "county", *_MED)
     return rounded(impute.group_fill_median(rows, "county", list(_MED)).drop("county"))
 
 
 @query("group_fill_mode", conversion_twin(f"SELECT opportunityid, {', '.join(_MODE)} FROM f",
                                           f=level_fill_sql("conversion", "county", (), _MODE)))
 def group_fill_mode(t: Inputs) -> DataFrame:
-    rows = t.conversion.select("opportunityid", "county", *_MODE)
+    rows = t.stored("conversion", "opportunityid", "county", *_MODE)
     return impute.group_fill_mode(rows, "county", list(_MODE)).drop("county")
 
 
 @query("hierarchical_impute", conversion_twin(f"{_SHOW} FROM l4", base=_BASE,
                                               **ladder_views("base", _GEO, _MED, _MODE, "l")))
 def hierarchical_impute(t: Inputs) -> DataFrame:
-    rows = cut(t.conversion.select("opportunityid", *_GEO, *_MED, *_MODE), "conversion")
+    rows = t.stored("conversion", "opportunityid", *_GEO, *_MED, *_MODE)
     return rounded(impute.hierarchical_impute(rows, _GEO, list(_MED), list(_MODE)).drop(*_GEO))
 
 
@@ -123,7 +123,7 @@ IMPUTE_COLUMNS = conversion.ConversionColumns(
     **ladder_views("t0", ["market", "everywhere"], _MED, _MODE, "t"),
 ))
 def conversion_impute(t: Inputs) -> DataFrame:
-    rows = cut(t.conversion.select("opportunityid", *_GEO, *_MED, *_MODE), "conversion")
+    rows = t.stored("conversion", "opportunityid", *_GEO, *_MED, *_MODE)
     train, test = sampling.split_fraction(rows, "opportunityid", 0.8, "2")
     filled, table = conversion.fit_fill(train, IMPUTE_COLUMNS)
     both = filled.withColumn("part", F.lit("train")).unionByName(
@@ -150,7 +150,7 @@ _BALANCED = """SELECT opportunityid, won FROM (SELECT opportunityid, won,
 
 @query("downsample_negatives", conversion_twin(_BALANCED))
 def downsample_negatives(t: Inputs) -> DataFrame:
-    rows = cut(t.conversion.select("opportunityid", "won"), "labels")
+    rows = t.stored("conversion", "opportunityid", "won")
     return sampling.downsample_negatives(rows, "opportunityid", "won", 1.5, "10")
 
 
@@ -159,7 +159,7 @@ def downsample_negatives(t: Inputs) -> DataFrame:
         row_number() OVER (PARTITION BY won ORDER BY md5(concat('104', opportunityid))) AS rn,
         count(*) OVER (PARTITION BY won) AS n FROM conversion) x"""))
 def stratified_split(t: Inputs) -> DataFrame:
-    rows = cut(t.conversion.select("opportunityid", "won"), "labels")
+    rows = t.stored("conversion", "opportunityid", "won")
     train, test = sampling.stratified_split(rows, "opportunityid", "won", 0.8, "104")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
@@ -185,7 +185,7 @@ _R_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b}))
         FROM step s JOIN ranked c ON c.i = s.i + 1)
     SELECT unnest(kept) AS feature FROM step WHERE i = (SELECT max(i) FROM ranked)""")
 def mrmr_select(t: Inputs) -> DataFrame:
-    rows = t.conversion.withColumns({name: F.expr(sql) for name, sql in REPEATS.items()})
+    rows = t.stored("conversion", *FEATURES, "won").withColumns({name: F.expr(sql) for name, sql in REPEATS.items()})
     kept = conversion.select_features(rows, "won", list(SELECTABLE), 0.0, 0.7)
     return t.spark.createDataFrame([(f,) for f in kept], "feature string")
 
@@ -266,7 +266,7 @@ _FEATURE_SQL = f"""SELECT opportunityid, c.zip, county, state, market, won, CAST
 
 @query("conversion_features", conversion_twin(_FEATURE_SQL, near=HOLIDAYS_SQL))
 def conversion_features(t: Inputs) -> DataFrame:
-    table = conversion.conversion_features(t.conversion, COLUMNS, us_holidays(t.spark, *YEARS))
+    table = conversion.conversion_features(t.stored("conversion"), COLUMNS, us_holidays(t.spark, *YEARS))
     return rounded(table, 4, "avg_zip_won_amount", "zip_median_size_score", "zip_median_balance", "zip_median_home_value")
 
 
@@ -356,7 +356,7 @@ def top_features(t: Inputs) -> DataFrame:
 @query("conversion_train_eval")
 def conversion_train_eval(t: Inputs) -> DataFrame:
     ready = conversion.prepare(
-        t.conversion, COLUMNS, us_holidays(t.spark, *YEARS), target_threshold=0.0, mutual=0.8
+        t.stored("conversion"), COLUMNS, us_holidays(t.spark, *YEARS), target_threshold=0.0, mutual=0.8
     )
     fitted = model.train_gbt(ready.train, ready.numeric, ready.categorical, "won", _settings())
     parts = [

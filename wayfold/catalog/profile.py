@@ -81,7 +81,7 @@ _MEDIANS = ("size_score", "balance", "discount", "quantity", "home_value")
 @query("median_by_key", conversion_twin(
     "SELECT zip, " + ", ".join(f"round(median({c}), 4) AS {c}" for c in _MEDIANS) + " FROM conversion GROUP BY 1"))
 def median_by_key(t: Inputs) -> DataFrame:
-    return rounded(medians_by(t.conversion.select("zip", *_MEDIANS), ["zip"], list(_MEDIANS)))
+    return rounded(medians_by(t.stored("conversion", "zip", *_MEDIANS), ["zip"], list(_MEDIANS)))
 
 
 @query("mode_by_key", conversion_twin("""SELECT zip, dwelling_type AS mode FROM (
@@ -179,7 +179,7 @@ def min_max(t: Inputs) -> DataFrame:
     f"SELECT '{c}' AS column_name, round(quantile_cont({c}, 0.05), 4) AS lo, round(quantile_cont({c}, 0.95), 4) AS hi "
     "FROM conversion" for c in FEATURES)))
 def percentile_bounds(t: Inputs) -> DataFrame:
-    return rounded(bounds(t.conversion.select(*FEATURES), list(FEATURES)))
+    return rounded(bounds(t.stored("conversion", *FEATURES), list(FEATURES)))
 
 
 @query("corr_with_target", conversion_twin(" UNION ALL ".join(
@@ -192,7 +192,7 @@ def corr_with_target_query(t: Inputs) -> DataFrame:
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 4) AS r FROM conversion"
     for a, b in combinations([*FEATURES, "won"], 2))))
 def corr_matrix_query(t: Inputs) -> DataFrame:
-    return rounded(corr_matrix(t.conversion, [*FEATURES, "won"]))
+    return rounded(corr_matrix(t.stored("conversion", *FEATURES, "won"), [*FEATURES, "won"]))
 
 
 @query("segment_lift", conversion_twin("""SELECT part, coalesce(waterfront_home = 1, FALSE) AS in_segment,

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfold.plans.offers import FREE_SIDE_KEYS, OFFER1_KEYS, OFFER2_KEYS, OFFER2_REWARDS, OFFER3_REWARDS
+from wayfold.storage import cut
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -172,6 +173,12 @@ class Inputs:
         raise AttributeError(name)
 
 
+    def stored(self, name: str, *columns: str) -> DataFrame:
+        """A proxy written to shared storage, for jobs that read it several times."""
+        frame = getattr(self, name)
+        return cut(frame.select(*columns) if columns else frame, name)
+
+
 def _inputs(sql: str) -> list[str]:
     return [t for t in dict.fromkeys(re.findall(r"{(\w+)}", sql)) if t in BASE_TABLES]
 

@@ -92,8 +92,8 @@ def join_dimension_default(t: Inputs) -> DataFrame:
     LEFT JOIN (SELECT zip, max(balance) AS balance, max(discount) AS discount FROM conversion GROUP BY zip) l
     ON c.zip = l.zip""", "conversion"))
 def fill_from_lookup(t: Inputs) -> DataFrame:
-    rows = t.conversion.select("opportunityid", "zip", "balance", "discount")
-    lookup = t.conversion.groupBy("zip").agg(F.max("balance").alias("balance"), F.max("discount").alias("discount"))
+    rows = t.stored("conversion", "opportunityid", "zip", "balance", "discount")
+    lookup = rows.groupBy("zip").agg(F.max("balance").alias("balance"), F.max("discount").alias("discount"))
     return joins.fill_from_lookup(rows, lookup, "zip", ["balance", "discount"])
 
 
@@ -111,7 +111,7 @@ def anti_join_complement(t: Inputs) -> DataFrame:
     LEFT JOIN (SELECT zip, avg(won_amount) AS m, median(balance) AS b, median(home_value) AS h FROM conversion
         WHERE zip IS NOT NULL GROUP BY zip) a ON c.zip = a.zip""", "conversion"))
 def agg_join_back(t: Inputs) -> DataFrame:
-    rows = t.conversion.select("opportunityid", "zip", "won_amount", "balance", "home_value")
+    rows = t.stored("conversion", "opportunityid", "zip", "won_amount", "balance", "home_value")
     means = rows.groupBy("zip").agg(F.avg("won_amount").alias("avg_zip_won_amount"))
     zips = means.join(medians_by(rows, ["zip"], ["balance", "home_value"], "zip_median_"), "zip")
     return rounded(joins.aggregate_back(rows.select("opportunityid", "zip"), zips, "zip"))

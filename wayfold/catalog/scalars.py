@@ -145,7 +145,7 @@ _TRAIN = "substr(md5(concat('2', opportunityid)), 1, 8) < 'cccccccc'"
         WHERE {_TRAIN}) b, (SELECT quantile_cont(home_value, 0.05) AS lo, quantile_cont(home_value, 0.95) AS hi
         FROM conversion WHERE {_TRAIN}) h""", "conversion"))
 def winsorize(t: Inputs) -> DataFrame:
-    rows = t.conversion.select("opportunityid", "balance", "home_value")
+    rows = t.stored("conversion", "opportunityid", "balance", "home_value")
     train, _ = split_fraction(rows, "opportunityid", 0.8, "2")
     return rounded(clip_to_bounds(rows, bounds_as_dict(bounds(train, ["balance", "home_value"]))))
 

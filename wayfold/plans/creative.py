@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.functions.rules import first_match
+from wayfold.functions.rules import any_of, first_match
 from wayfold.functions.text import strip_suffix, upper_fields
 
 # The fields of a creative record with their types and defaults.
@@ -37,27 +37,27 @@ UPPER_FIELDS = [
 
 # Label sets and the words that decide them, first match wins.
 EMAIL_TONES = {
-    "Promotional": "offer|discount|free|sale",
-    "Informative": "news|update|information",
-    "Convincing": "best|must|now",
+    "Promotional": ("offer", "discount", "free", "sale"),
+    "Informative": ("news", "update", "information"),
+    "Convincing": ("best", "must", "now"),
 }
 EMAIL_TYPES = {
-    "Transactional": "order|receipt|payment",
-    "Survey": "survey|feedback|rate us",
-    "Informational": "information|update|notice",
-    "Newsletter": "newsletter|weekly|monthly",
+    "Transactional": ("order", "receipt", "payment"),
+    "Survey": ("survey", "feedback", "rate us"),
+    "Informational": ("information", "update", "notice"),
+    "Newsletter": ("newsletter", "weekly", "monthly"),
 }
 BODY_TONES = {
-    "Friendly": "hello|dear|thanks",
-    "Convincing": "best|must|now",
-    "Inspirational": "dream|inspire",
-    "Professional": "regards|sincerely",
+    "Friendly": ("hello", "dear", "thanks"),
+    "Convincing": ("best", "must", "now"),
+    "Inspirational": ("dream", "inspire"),
+    "Professional": ("regards", "sincerely"),
 }
 BODY_TYPES = {
-    "Reminder": "remind|last chance|expires",
-    "Announcement": "announce|introducing|new",
-    "Transactional": "order|receipt|payment",
-    "Awareness": "learn|discover|about",
+    "Reminder": ("remind", "last chance", "expires"),
+    "Announcement": ("announce", "introducing", "new"),
+    "Transactional": ("order", "receipt", "payment"),
+    "Awareness": ("learn", "discover", "about"),
 }
 OTHERS = "Others"
 
@@ -81,40 +81,45 @@ def parse_records(df: DataFrame, json: str, file_name: str) -> DataFrame:
     return upper_fields(rows.withColumns(typed).drop("__file", "r"), UPPER_FIELDS)
 
 
-def closed_label(text: Column, labels: dict[str, str]) -> Column:
-    """The first label one of whose words occurs, else 'Others'."""
-    return first_match([(text.rlike(f"(?i)({words})"), label) for label, words in labels.items()], OTHERS)
+def closed_label(lowered: Column, labels: dict[str, tuple[str, ...]]) -> Column:
+    """The first label one of whose words occurs in the lower-case text, else 'Others'."""
+    return first_match([(any_of(lowered.contains(w) for w in words), label) for label, words in labels.items()], OTHERS)
 
 
 def text_features(df: DataFrame, text: str) -> DataFrame:
     """Subject, lengths, offer, call to action and labels from a message's text.
 
-    The first line is the subject and the rest the body.
+    The first line is the subject and the rest the body. Words are looked up in
+    one lower-case copy of the text; only the two offer amounts need patterns.
     """
-    whole = F.col(text)
-    subject = F.substring_index(whole, "\n", 1)
-    body = F.substring(whole, F.length(subject) + 2, F.length(whole))
-    percent = F.regexp_extract(whole, "([0-9]+)\\s?%", 1)
-    amount = F.regexp_extract(whole, "[$]\\s?([0-9]+)", 1)
-    free = whole.rlike("(?i)free")
-    has_percent, has_amount = percent != "", amount != ""
     rest = [c for c in df.columns if c != text]
-    return df.select(
+    whole, lowered = F.col(text), F.col("__lowered")
+    subject = F.substring_index(whole, "\n", 1)
+    found = df.select(
         *rest,
+        F.lower(whole).alias("__lowered"),
         F.length(subject).alias("subject_length"),
-        F.length(body).alias("body_length"),
-        (has_percent | has_amount | free).alias("offer_flag"),
-        F.when(has_percent | has_amount, "Discount Offer").when(free, "Free Item Offer").otherwise("No Offer").alias(
-            "offer_type"
-        ),
-        F.when(has_percent, F.concat(percent, F.lit("%")))
-        .when(has_amount, F.concat(F.lit("$"), amount))
+        F.greatest(F.length(whole) - F.length(subject) - 1, F.lit(0)).alias("body_length"),
+        F.regexp_extract(whole, "([0-9]+)\\s?%", 1).alias("__percent"),
+        F.regexp_extract(whole, "[$]\\s?([0-9]+)", 1).alias("__amount"),
+    )
+    percent, amount = F.col("__percent"), F.col("__amount")
+    priced = (percent != "") | (amount != "")
+    free = lowered.contains("free")
+    return found.select(
+        *rest,
+        "subject_length",
+        "body_length",
+        (priced | free).alias("offer_flag"),
+        F.when(priced, "Discount Offer").when(free, "Free Item Offer").otherwise("No Offer").alias("offer_type"),
+        F.when(percent != "", F.concat(percent, F.lit("%")))
+        .when(amount != "", F.concat(F.lit("$"), amount))
         .otherwise("0")
         .alias("offer_value"),
-        whole.rlike("(?i)order now").alias("cta_order_now"),
-        whole.rlike("(?i)visit").alias("cta_visit_restaurant"),
-        closed_label(whole, EMAIL_TONES).alias("email_tone"),
-        closed_label(whole, EMAIL_TYPES).alias("email_type"),
-        closed_label(whole, BODY_TONES).alias("body_tone"),
-        closed_label(whole, BODY_TYPES).alias("body_type"),
+        lowered.contains("order now").alias("cta_order_now"),
+        lowered.contains("visit").alias("cta_visit_restaurant"),
+        closed_label(lowered, EMAIL_TONES).alias("email_tone"),
+        closed_label(lowered, EMAIL_TYPES).alias("email_type"),
+        closed_label(lowered, BODY_TONES).alias("body_tone"),
+        closed_label(lowered, BODY_TYPES).alias("body_type"),
     )
