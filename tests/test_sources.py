@@ -111,3 +111,26 @@ def test_search_requests(spark):
 def test_strip_suffix(spark):
     df = spark.createDataFrame([("a.png",), ("apng",), ("a.png.x",)], "f string")
     assert [r[0] for r in df.select(strip_suffix(F.col("f"), ".png")).collect()] == ["a", "apng", "a.png.x"]
+
+
+def test_clustered_join_needs_no_shuffle(spark, tmp_path):
+    from wayfold.sources.tables import write_clustered
+
+    rows = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
+    a = write_clustered(rows, "clustered_a", ["k"], 4, str(tmp_path / "a"))
+    b = write_clustered(rows.where("id < 50"), "clustered_b", ["k"], 4, str(tmp_path / "b"), spread=3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.join(b, "k")
+        assert joined.count() == 1000
+        assert "hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_left_join_many_equals_left_join(spark, rows):
+    from wayfold.operators.joins import left_outer, left_outer_many
+
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d")], "k int, l string")
+    right = spark.createDataFrame([(1, 10), (1, 11), (3, 12), (None, 13)], "k int, r int")
+    assert rows(left_outer_many(left, right, ["k"]), "k", "l", "r") == rows(left_outer(left, right, ["k"]), "k", "l", "r")

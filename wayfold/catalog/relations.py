@@ -34,7 +34,7 @@ def join_inner(t: Inputs) -> DataFrame:
     FROM mapping m LEFT JOIN hard h ON m.loyaltymemberkey = h.loyaltymemberkey""", "mapping", "hard"))
 def join_left(t: Inputs) -> DataFrame:
     members = t.mapping.select("customerkey", "loyaltymemberkey")
-    return joins.left_outer(members, t.hard, ["loyaltymemberkey"])
+    return joins.left_outer_many(members, t.hard, ["loyaltymemberkey"])
 
 
 @query("join_left_multikey", twin("""SELECT s.subscriberid, s.sendid, s.eventdate, o.total_opens, u.unsub_time

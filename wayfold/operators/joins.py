@@ -19,10 +19,22 @@ def inner(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def left_outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left equi-join; an unaggregated right side repeats left rows."""
+    """Left equi-join to a side with at most a few rows per key."""
     return left.join(right, list(keys), "left")
 
 
+def left_outer_many(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left equi-join to an unaggregated side, which repeats left rows.
+
+    One key may hold much of ``right``. A left join cannot split that side, an
+    inner join can; so matched rows come from an inner join and the others from
+    an anti join against the distinct keys.
+    """
+    matched = left.join(right, list(keys), "inner")
+    others = left.join(right.select(*keys).distinct(), list(keys), "left_anti")
+    return matched.unionByName(others, allowMissingColumns=True)
+
+
 def semi_in(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``left`` whose key occurs in ``right``."""
     return left.join(right, list(keys), "left_semi")

@@ -239,23 +239,32 @@ def _join_if(rows: DataFrame, side: DataFrame, relevant: Column) -> DataFrame:
     return rows.join(other, (F.col(MEMBER) == F.col("__member")) & relevant, "left").drop("__member")
 
 
-def member_base(t: JourneyTables, as_of: date) -> DataFrame:
-    """Members of the programme with lists, purchases, totals and eligibility."""
+def listed_members(t: JourneyTables) -> DataFrame:
+    """Members of the programme with the control and holdout flags."""
     members = (
-        t.mapping.where(F.col(MEMBER).isNotNull() & in_programme()).select(*MEMBER_COLUMNS).distinct()
+        t.mapping.where(F.col(MEMBER).isNotNull() & in_programme())
+        .select(*MEMBER_COLUMNS)
+        .distinct()
         .withColumnRenamed("contact_id", "subscriberkey")
     )
-    flagged = with_control_flags(
-        members, control_flags(t.controls, t.controls_backup, "external_id"), "external_id", "external_id"
-    )
-    joined = (
-        flagged.join(first_three_transactions(t.transactions, t.mapping), MEMBER, "left")
+    flags = control_flags(t.controls, t.controls_backup, "external_id")
+    return with_control_flags(members, flags, "external_id", "external_id")
+
+
+def with_purchases(df: DataFrame, t: JourneyTables) -> DataFrame:
+    """Attach first purchases, 90-day totals and earlier purchases of each member."""
+    return (
+        df.join(first_three_transactions(t.transactions, t.mapping), MEMBER, "left")
         .join(totals_90_days(t.transactions, t.mapping), MEMBER, "left")
         .join(prior_transactions(t.transactions, t.mapping), MEMBER, "left")
     )
+
+
+def derive_member_columns(df: DataFrame, as_of: date) -> DataFrame:
+    """Cohorts, eligibility, media, day gaps, journey flags and exit."""
     end = F.coalesce(F.col("_3rd_txn_date").cast("date"), shift_days(F.col("created_date"), 90))
     bought = {nth: F.col(f"_{nth}_txn_date") for nth in ("1st", "2nd", "3rd")}
-    return joined.withColumns(
+    return df.withColumns(
         {
             "start_month_cohort": month_cohort(F.col("created_date")),
             "journey_cohort_week": week_ending_sunday(F.col("created_date")),
@@ -278,11 +287,20 @@ def member_base(t: JourneyTables, as_of: date) -> DataFrame:
     ).drop("customerkey", "txn_signup_date", "txns_before_wj")
 
 
+def member_base(t: JourneyTables, as_of: date) -> DataFrame:
+    """Members with lists, purchases, totals, eligibility and exit; no touches or offers."""
+    return derive_member_columns(with_purchases(listed_members(t), t), as_of)
+
+
 def journey_master(t: JourneyTables, as_of: date) -> DataFrame:
-    """The full member table; see the module text for how its inputs are reduced."""
-    members = member_base(t, as_of)
+    """The full member table; see the module text for how its inputs are reduced.
+
+    Joins on one key follow each other (lists, then subscriber, then member),
+    so the wide rows are placed once per key.
+    """
     mails = mails_received(t.engagement).drop("subscriberkey", MEMBER)
-    placed = members.join(journey_touches(t.engagement), "subscriberid", "left").join(mails, "subscriberid", "left")
+    touched = listed_members(t).join(journey_touches(t.engagement), "subscriberid", "left")
+    placed = derive_member_columns(with_purchases(touched.join(mails, "subscriberid", "left"), t), as_of)
     variant2, variant3 = F.col("offer_3_3_variants"), F.col("offer_4_3_variants")
     # A coupon or reward only repeats a member's row if the row's variant can
     # depend on it; the others would fold back into one row at the end.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scan(spark: SparkSession, schema: str | None, table: str) -> DataFrame:
@@ -22,13 +23,17 @@ def replace_table_as(df: DataFrame, name: str, path: str | None = None) -> DataF
 
 
 def write_clustered(
-    df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None
+    df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None, spread: int = 1
 ) -> DataFrame:
     """Store a table bucketed and sorted on its key, so joins on the key need no shuffle.
 
-    Rows are placed by the bucket key first, so each bucket is one file.
+    Rows are placed by the bucket key first, so each bucket is ``spread`` files;
+    more than one lets several tasks write the bucket of a very large key.
     """
-    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    place = [F.col(k) for k in keys]
+    if spread > 1:
+        place.append(F.pmod(F.xxhash64(*df.columns), F.lit(spread)))
+    writer = df.repartition(buckets * spread, *place).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(name)
