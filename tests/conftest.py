@@ -14,6 +14,7 @@ def spark():
 
     session = local_session("tests", 4, "6g")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.maxMetadataStringLength", "4000")
     yield session
     session.stop()
 

@@ -15,6 +15,8 @@ def test_delimited_rows(spark, tmp_path, rows):
     (tmp_path / "a.csv").write_text('id|name|v\n1|a "b|2.5\n2|short\n3|x|1.0|extra\n4||\n5|"q"|0.5\n')
     schema = T.StructType.fromDDL("id int, name string, v double")
     out = read_delimited(spark, str(tmp_path), schema)
+    assert out.count() == 4
+    assert out.select("v").where("v > 1").count() == 1
     assert rows(out) == [(1, 'a "b', 2.5), (2, "short", None), (4, None, None), (5, '"q"', 0.5)]
 
 

@@ -306,12 +306,14 @@ def score_batch(t: Inputs) -> DataFrame:
     )
 
 
-@query("save_load_model")
+@query("save_load_model", conversion_twin("SELECT opportunityid, TRUE AS same_score FROM conversion"))
 def save_load_model(t: Inputs) -> DataFrame:
     rows = _training_rows(t)
     path = scratch_path(t.spark, "model")
-    save_model(model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", _settings(2)), path)
-    return model.with_probability(load_model(path), rows).select("opportunityid", "pred_prob")
+    fitted = model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", _settings(2))
+    save_model(fitted, path)
+    both = model.with_probability(load_model(path), model.with_probability(fitted, rows, "before"), "after")
+    return both.select("opportunityid", (F.col("before") == F.col("after")).alias("same_score"))
 
 
 @query("feature_importance")

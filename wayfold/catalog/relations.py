@@ -15,6 +15,7 @@ from wayfold.operators.calendar import near_holiday_flag, us_holidays
 from wayfold.operators.quantiles import medians_by
 from wayfold.operators.sampling import split_fraction
 from wayfold.plans import engagement
+from wayfold.storage import cut
 
 YEARS = (1990, 2030)
 
@@ -94,7 +95,7 @@ def join_dimension_default(t: Inputs) -> DataFrame:
 def fill_from_lookup(t: Inputs) -> DataFrame:
     rows = t.stored("conversion", "opportunityid", "zip", "balance", "discount")
     lookup = rows.groupBy("zip").agg(F.max("balance").alias("balance"), F.max("discount").alias("discount"))
-    return joins.fill_from_lookup(rows, lookup, "zip", ["balance", "discount"])
+    return joins.fill_from_lookup(rows, cut(lookup, "lookup"), "zip", ["balance", "discount"])
 
 
 @query("anti_join_complement", twin("""SELECT opportunityid, won FROM conversion WHERE opportunityid NOT IN

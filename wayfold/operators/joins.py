@@ -2,7 +2,9 @@
 
 No side is broadcast by hint unless its size is bounded by construction; for
 all others the planner decides from sizes, and adaptive execution splits skewed
-partitions of the fact side.
+partitions of the fact side. It can only do so between two plain shuffles, so a
+lookup that is the result of an aggregation is stored before rows with possibly
+hot keys are joined to it.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.storage import cut
+
 
 def inner(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner equi-join."""
@@ -88,7 +92,7 @@ def dimension_default(
 
 
 def fill_from_lookup(df: DataFrame, lookup: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Fill only the null cells of ``columns`` from a keyed table, in one join."""
+    """Fill only the null cells of ``columns`` from a stored keyed table, in one join."""
     renamed = lookup.select(key, *[F.col(c).alias(f"__fill_{c}") for c in columns])
     return (
         df.join(renamed, key, "left")
@@ -99,4 +103,4 @@ def fill_from_lookup(df: DataFrame, lookup: DataFrame, key: str, columns: Sequen
 
 def aggregate_back(df: DataFrame, aggregated: DataFrame, key: str) -> DataFrame:
     """Attach per-group values to every row; a null key keeps null values."""
-    return df.join(aggregated.where(F.col(key).isNotNull()), key, "left")
+    return df.join(cut(aggregated.where(F.col(key).isNotNull()), "lookup"), key, "left")

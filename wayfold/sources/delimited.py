@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_RAW = "__raw"
+# No text line holds this character, so the reader leaves whole lines together.
+_NEVER = "\x01"
 
 
 def read_delimited(
@@ -14,22 +15,20 @@ def read_delimited(
 ) -> DataFrame:
     """Read separated text with a declared schema and no quote character.
 
-    A row with too few fields is padded with nulls; a row with too many is left
-    out. Large files are split between tasks by Spark.
+    A row with too few fields is padded with nulls, one with too many is left
+    out, and text that does not fit its type is null. Spark splits large files
+    between tasks and skips the header of each one.
     """
-    kept = T.StructType([*schema.fields, T.StructField(_RAW, T.StringType())])
-    rows = (
-        spark.read.schema(kept)
-        .option("sep", sep)
-        .option("header", header)
-        .option("quote", "")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _RAW)
-        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
-        .csv(path)
+    lines = (
+        spark.read.schema("line string").option("sep", _NEVER).option("quote", "").option("header", header).csv(path)
+    )
+    fields = lines.select(F.split("line", f"\\Q{sep}\\E", -1).alias("f")).where(F.size("f") <= len(schema.fields))
+    return fields.select(
+        *[
+            F.nullif(F.get("f", F.lit(i)), F.lit("")).try_cast(field.dataType).alias(field.name)
+            for i, field in enumerate(schema.fields)
+        ]
     )
-    fields = F.size(F.split(F.col(_RAW), F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E")), -1))
-    return rows.where(F.col(_RAW).isNull() | (fields <= len(schema.fields))).drop(_RAW)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "|") -> None:
