@@ -139,16 +139,14 @@ def touch_columns(
             F.collect_set(F.when(rule.matches(name, when), F.struct(*fields))).alias(f"s_{rule.touch}")
         )
     out = sends.where(F.col("subscriberid").isNotNull()).groupBy("subscriberid").agg(*gathered)
+    # One statement for all touches: the plan is analysed once.
+    columns, views = ["subscriberid"], []
     for rule in rules:
-        out = out.withColumn(f"s_{rule.touch}", F.explode_outer(f"s_{rule.touch}"))
-    columns = [F.col("subscriberid")]
-    for rule in rules:
-        s = F.col(f"s_{rule.touch}")
-        columns += [s[suffix].alias(f"tch_{rule.touch}_{suffix}") for suffix in TOUCH_COLUMNS]
+        views.append(f"LATERAL VIEW OUTER explode(s_{rule.touch}) AS t_{rule.touch}")
+        columns += [f"t_{rule.touch}.`{suffix}` AS `tch_{rule.touch}_{suffix}`" for suffix in TOUCH_COLUMNS]
         if rule.touch in extra:
-            label = extra[rule.touch][0]
-            columns.append(s[label].alias(label))
-    return out.select(*columns)
+            columns.append(f"t_{rule.touch}.`{extra[rule.touch][0]}`")
+    return sends.sparkSession.sql(f"SELECT {', '.join(columns)} FROM {{gathered}} {' '.join(views)}", gathered=out)
 
 
 def touch_pivot(sends: DataFrame, rules: Sequence[TouchRule] = TOUCH_RULES) -> DataFrame:
