@@ -11,11 +11,13 @@ sys.path.insert(0, str(ROOT / "tools"))
 @pytest.fixture(scope="session")
 def spark():
     from wayfold.session import local_session
+    from wayfold.storage import drop_scratch
 
     session = local_session("tests", 4, "6g")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.maxMetadataStringLength", "4000")
     yield session
+    drop_scratch(session)
     session.stop()
 
 

@@ -36,6 +36,16 @@ def test_cut_reads_back(spark, rows):
     assert "FileScan parquet" in back._jdf.queryExecution().executedPlan().toString()
 
 
+def test_scratch_goes_with_the_session(spark):
+    from pathlib import Path
+
+    folder = Path(storage.session_folder(spark))
+    storage.cut(spark.range(3), "mine")
+    assert any(p.name.startswith("mine-") for p in folder.iterdir())
+    storage.drop_scratch(spark)
+    assert not folder.exists()
+
+
 def test_scratch_needs_a_shared_folder(monkeypatch):
     class Conf:
         def get(self, *_):

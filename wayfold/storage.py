@@ -8,29 +8,49 @@ gives the planner true sizes for its broadcast decisions.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables.
+
+    A local session without one gets a temporary folder that goes away with
+    the process; on a cluster the setting is required.
+    """
     root = spark.conf.get(_SETTING, None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="wayfold-scratch-")
-    spark.conf.set(_SETTING, root)
-    return root
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="wayfold-scratch-")
+        atexit.register(shutil.rmtree, _LOCAL[context.applicationId], ignore_errors=True)
+    return _LOCAL[context.applicationId]
+
+
+def session_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{scratch_root(spark)}/wayfold/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/wayfold/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    return f"{session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables when no frame needs them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
