@@ -87,14 +87,14 @@ def test_offer_rules_on_every_combination(spark):
     )
     frame = df.toPandas()  # noqa: F841
     query = f"""WITH m AS (SELECT id, v2 AS offer_3_3_variants, v3 AS offer_4_3_variants, spend AS _2nd_txn_netsales,
-            {{'offercatalogcampaignkey': k0, 'redemptiondate': d0}} AS z0,
+            {{'offercatalogcampaignkey': k0, 'redemptiondate': d0}} AS coupon2,
             {{'name': n2, 'redemptiondate': d2, 'total_points_awarded': p2,
-              'loyaltymemberkey': CASE WHEN n2 IS NOT NULL THEN 1 END}} AS z2,
+              'loyaltymemberkey': CASE WHEN n2 IS NOT NULL THEN 1 END}} AS reward2,
             {{'offercatalogcampaignkey': side, 'redemptiondate': d0,
-              'loyaltymemberkey': CASE WHEN side IS NOT NULL THEN 1 END}} AS z01,
-            {{'offercatalogcampaignkey': one, 'redemptiondate': d0}} AS z1 FROM
+              'loyaltymemberkey': CASE WHEN side IS NOT NULL THEN 1 END}} AS side,
+            {{'offercatalogcampaignkey': one, 'redemptiondate': d0}} AS coupon1 FROM
             (SELECT * REPLACE (CAST(d0 AS DATE) AS d0, CAST(d2 AS DATE) AS d2, nullif(p2, 'NaN'::DOUBLE) AS p2,
-             nullif(spend, 'NaN'::DOUBLE) AS spend) FROM frame)), n AS (SELECT *, z2 AS z3 FROM m)
+             nullif(spend, 'NaN'::DOUBLE) AS spend) FROM frame)), n AS (SELECT *, reward2 AS reward3 FROM m)
         SELECT id, {sql.OFFER_LIST} FROM n ORDER BY id"""
     cur = duckdb.sql(query)
     names = [n for n in out.columns if n in cur.columns]

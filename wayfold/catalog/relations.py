@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.catalog.journey import CONTROL_LISTS, OPENS_SQL, UNSUBS_SQL, listed_sql
+from wayfold.catalog.journey import OPENS_SQL, UNSUBS_SQL, flags_sql
 from wayfold.catalog.proxies import MONTHS, Inputs, twin
 from wayfold.catalog.registry import query, rounded
 from wayfold.operators import aggregates, frames, joins
@@ -58,12 +58,8 @@ def join_semi_in(t: Inputs) -> DataFrame:
     return joins.semi_in(t.sent.select("subscriberid", "sendid", "eventdate"), journey, ["sendid"])
 
 
-@query("existence_flag", twin(f"""SELECT m.contact_id, CASE WHEN a.contact_id IS NOT NULL THEN 1 ELSE 0 END AS control,
-    CASE WHEN b.contact_id IS NOT NULL THEN 1 ELSE 0 END AS offer2,
-    CASE WHEN c.contact_id IS NOT NULL THEN 1 ELSE 0 END AS offer3 FROM mapping m
-    LEFT JOIN ({listed_sql("contact_id", *CONTROL_LISTS[0])}) a ON m.contact_id = a.contact_id
-    LEFT JOIN ({listed_sql("contact_id", *CONTROL_LISTS[1])}) b ON m.contact_id = b.contact_id
-    LEFT JOIN ({listed_sql("contact_id", *CONTROL_LISTS[2])}) c ON m.contact_id = c.contact_id""",
+@query("existence_flag", twin(f"""SELECT contact_id, coalesce(control, 0) AS control, coalesce(offer2, 0) AS offer2,
+    coalesce(offer3, 0) AS offer3 FROM mapping LEFT JOIN ({flags_sql("contact_id")}) listed USING (contact_id)""",
     "mapping", "controls", "controls_backup"))
 def existence_flag(t: Inputs) -> DataFrame:
     listed = engagement.control_list(t.controls, t.controls_backup, "contact_id")
