@@ -159,10 +159,13 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        """A Parquet table."""
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A Parquet table; its schema is read once per query."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in PROXIES:
