@@ -202,6 +202,14 @@ def test_touches_repeat_like_joins(spark, rows):
     assert rows(touches.touch_columns(single), *columns) == rows(touches.touch_pivot(single), *columns)
 
 
+def test_one_send_per_touch_gives_one_row(spark, rows):
+    master = engagement.engagement_master(tables(spark)).where("subscriberid = 2 OR sendid > 2")
+    wide, once = journey.journey_touches(master), journey.first_touches(master)
+    assert rows(wide, *sorted(once.columns)) == rows(once, *sorted(once.columns))
+    repeated = engagement.engagement_master(tables(spark))
+    assert journey.first_touches(repeated).count() == 2 < journey.journey_touches(repeated).count()
+
+
 def test_membership_flags_never_repeat(spark, rows):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
     listed = spark.createDataFrame([("a", 1), ("a", 2), (None, 1)], "m string, kind int")

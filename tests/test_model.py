@@ -68,10 +68,10 @@ COLUMNS = conversion.ConversionColumns(
 )
 
 
-@pytest.mark.parametrize("as_reference", [False, True])
-def test_preparation(rows_of, spark, as_reference):
+@pytest.mark.parametrize("use_all_rows", [False, True])
+def test_preparation(rows_of, spark, use_all_rows):
     ready = conversion.prepare(
-        rows_of, COLUMNS, us_holidays(spark, 2024, 2024), as_reference=as_reference, target_threshold=0.0, mutual=0.6
+        rows_of, COLUMNS, us_holidays(spark, 2024, 2024), use_all_rows=use_all_rows, target_threshold=0.0, mutual=0.6
     )
     for frame in (ready.train, ready.test, ready.validation):
         for c in (*COLUMNS.median_fill, *COLUMNS.mode_fill):
@@ -81,7 +81,7 @@ def test_preparation(rows_of, spark, as_reference):
     keys = lambda df: {r[0] for r in df.select("key").collect()}
     train, test, rest = keys(ready.train), keys(ready.test), keys(ready.validation)
     assert not train & test
-    assert bool((train | test) & rest) == as_reference
+    assert bool((train | test) & rest) == use_all_rows
     # "twin" repeats "good" wherever it is known: only one is kept.
     assert len({"good", "twin"} & set(ready.numeric)) == 1
     assert set(ready.tables) == {"fill", "zips", "bounds"}

@@ -8,7 +8,7 @@ therefore never puts them all into one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import date
 
@@ -40,7 +40,8 @@ from wayfold.plans.offers import (
     offer3_columns,
     variant_by_name,
 )
-from wayfold.plans.touches import TOUCH_RULES, touch_columns
+from wayfold.plans.touches import TOUCH_RULES, touch_columns, touch_pivot
+from wayfold.storage import cut
 
 # Start of the programme, last signup day of old customers, the
 # channel that does not count, and the two purchase media.
@@ -200,13 +201,21 @@ def mails_received(engagement: DataFrame) -> DataFrame:
     return engagement.groupBy("subscriberkey", "subscriberid", MEMBER).agg(*counts)
 
 
-def journey_touches(engagement: DataFrame) -> DataFrame:
-    """Touch columns with the offer texts of touches 3.3 and 4.3."""
-    extra = {
+def _variants() -> dict[str, tuple[str, Column]]:
+    return {
         "3_3": ("offer_3_3_variants", variant_by_name(F.col("emailname"), OFFER2_VARIANTS)),
         "4_3": ("offer_4_3_variants", variant_by_name(F.col("emailname"), OFFER3_VARIANTS)),
     }
-    return touch_columns(engagement, TOUCH_RULES, extra)
+
+
+def journey_touches(engagement: DataFrame) -> DataFrame:
+    """Touch columns with the offer texts of touches 3.3 and 4.3, every combination of sends."""
+    return touch_columns(engagement, TOUCH_RULES, _variants())
+
+
+def first_touches(engagement: DataFrame) -> DataFrame:
+    """The same columns, one row per subscriber: each touch's earliest values."""
+    return touch_pivot(engagement.where(F.col("subscriberid").isNotNull()), TOUCH_RULES, _variants())
 
 
 def coupons(hard: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
@@ -292,38 +301,72 @@ def member_base(t: JourneyTables, as_of: date) -> DataFrame:
     return derive_member_columns(with_purchases(listed_members(t), t), as_of)
 
 
-def journey_master(t: JourneyTables, as_of: date) -> DataFrame:
-    """The full member table; see the module text for how its inputs are reduced.
+def journey_parts(
+    t: JourneyTables, as_of: date, touches: Callable[[DataFrame], DataFrame] = journey_touches
+) -> dict[str, DataFrame]:
+    """The journey master in four independent parts.
+
+    ``members`` has everything but redemptions; ``offer1`` is keyed by member,
+    ``offer2`` and ``offer3`` by member and variant. Each part has distinct rows
+    and grows with the redemptions of its own offer only, where the master
+    holds their product. A touch whose send has several rows (two bounce
+    categories, say) repeats the member; ``touches=first_touches`` keeps one row
+    per member whatever the sends look like.
 
     Joins on one key follow each other (lists, then subscriber, then member),
     so the wide rows are placed once per key.
     """
     mails = mails_received(t.engagement).drop("subscriberkey", MEMBER)
-    touched = listed_members(t).join(journey_touches(t.engagement), "subscriberid", "left")
+    touched = listed_members(t).join(touches(t.engagement), "subscriberid", "left")
     placed = derive_member_columns(with_purchases(touched.join(mails, "subscriberid", "left"), t), as_of)
     variant2, variant3 = F.col("offer_3_3_variants"), F.col("offer_4_3_variants")
-    # A coupon or reward only repeats a member's row if the row's variant can
-    # depend on it; the others would fold back into one row at the end.
-    wide = _join_if(placed, coupons(t.hard_redemptions, OFFER1_KEYS, "c1"), F.lit(True))
-    wide = _join_if(wide, coupons(t.hard_redemptions, OFFER2_KEYS, "c2"), variant2.isin(*COUPON_VARIANTS))
-    wide = _join_if(wide, coupons(t.hard_redemptions, FREE_SIDE_KEYS, "c3"), variant3 == FREE_SIDE)
-    wide = _join_if(wide, rewards(t.soft_redemptions, OFFER2_REWARDS, "r2"), variant2.isin(*REWARD_VARIANTS))
-    wide = _join_if(wide, rewards(t.soft_redemptions, OFFER3_REWARDS, "r3"), F.lit(True))
     touch = {rule.touch: F.col(f"tch_{rule.touch}_tstamp") for rule in TOUCH_RULES}
-    return (
-        wide.withColumns(
+    members = cut(
+        placed.withColumns(
             {
-                **offer1_columns(_coupon("c1")),
                 "offer_3_3_variants_short": offer2_code(variant2),
-                **offer2_columns(variant2, _coupon("c2"), _reward("r2"), F.col("_2nd_txn_netsales")),
                 "offer_4_3_variants_short": offer3_code(variant3),
-                **offer3_columns(variant3, _coupon("c3"), _reward("r3")),
                 "_1st_txn_attribution": attribute_first(F.col("_1st_txn_date"), touch),
                 "_2nd_txn_attribution": attribute_second(F.col("_2nd_txn_date"), touch),
                 "_3rd_txn_attribution": attribute_third(F.col("_3rd_txn_date"), touch),
             }
-        )
-        .drop("c1_key", "c1_date", "c2_key", "c2_date", "c3_key", "c3_date")
-        .drop("r2_name", "r2_date", "r2_points", "r3_name", "r3_date", "r3_points")
-        .distinct()
+        ).distinct(),
+        "members",
     )
+    first = coupons(t.hard_redemptions, OFFER1_KEYS, "c1")
+    # A coupon or reward only counts for rows whose variant can depend on it.
+    second = members.select(MEMBER, "offer_3_3_variants", "_2nd_txn_netsales").distinct()
+    second = _join_if(second, coupons(t.hard_redemptions, OFFER2_KEYS, "c2"), variant2.isin(*COUPON_VARIANTS))
+    second = _join_if(second, rewards(t.soft_redemptions, OFFER2_REWARDS, "r2"), variant2.isin(*REWARD_VARIANTS))
+    third = members.select(MEMBER, "offer_4_3_variants").distinct()
+    third = _join_if(third, coupons(t.hard_redemptions, FREE_SIDE_KEYS, "c3"), variant3 == FREE_SIDE)
+    third = _join_if(third, rewards(t.soft_redemptions, OFFER3_REWARDS, "r3"), F.lit(True))
+    named = lambda columns: [e.alias(n) for n, e in columns.items()]
+    spend = F.col("_2nd_txn_netsales")
+    return {
+        "members": members,
+        "offer1": first.select(MEMBER, *named(offer1_columns(_coupon("c1")))).distinct(),
+        "offer2": second.select(
+            MEMBER, "offer_3_3_variants", *named(offer2_columns(variant2, _coupon("c2"), _reward("r2"), spend))
+        ).distinct(),
+        "offer3": third.select(
+            MEMBER, "offer_4_3_variants", *named(offer3_columns(variant3, _coupon("c3"), _reward("r3")))
+        ).distinct(),
+    }
+
+
+def _attach(rows: DataFrame, part: DataFrame, variant: str) -> DataFrame:
+    side = part.withColumnsRenamed({MEMBER: "__member", variant: "__variant"})
+    on = (F.col(MEMBER) == F.col("__member")) & F.col(variant).eqNullSafe(F.col("__variant"))
+    return rows.join(side, on, "left").drop("__member", "__variant")
+
+
+def journey_master(
+    t: JourneyTables, as_of: date, touches: Callable[[DataFrame], DataFrame] = journey_touches
+) -> DataFrame:
+    """The full member table: every distinct combination of a member's parts."""
+    parts = journey_parts(t, as_of, touches)
+    rows = parts["members"].join(parts["offer1"], MEMBER, "left")
+    rows = rows.withColumn("has_redeemed_offer1", F.coalesce("has_redeemed_offer1", F.lit(0)))
+    rows = _attach(rows, parts["offer2"], "offer_3_3_variants")
+    return _attach(rows, parts["offer3"], "offer_4_3_variants")

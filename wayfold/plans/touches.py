@@ -149,17 +149,22 @@ def touch_columns(
     return sends.sparkSession.sql(f"SELECT {', '.join(columns)} FROM {{gathered}} {' '.join(views)}", gathered=out)
 
 
-def touch_pivot(sends: DataFrame, rules: Sequence[TouchRule] = TOUCH_RULES) -> DataFrame:
+def touch_pivot(
+    sends: DataFrame, rules: Sequence[TouchRule] = TOUCH_RULES, extra: dict[str, tuple[str, Column]] | None = None
+) -> DataFrame:
     """One row per subscriber: the earliest value of each touch column.
 
     The same as :func:`touch_columns` when a subscriber has at most one send
-    per touch.
+    per touch. ``extra`` expressions are taken from the first send.
     """
     name, when = F.col("emailname"), F.col("senttime")
-    return sends.groupBy("subscriberid").agg(
-        *[
-            F.min(F.when(rule.matches(name, when), F.col(source))).alias(f"tch_{rule.touch}_{suffix}")
-            for rule in rules
-            for suffix, source in TOUCH_COLUMNS.items()
-        ]
-    )
+    columns = [
+        F.min(F.when(rule.matches(name, when), F.col(source))).alias(f"tch_{rule.touch}_{suffix}")
+        for rule in rules
+        for suffix, source in TOUCH_COLUMNS.items()
+    ]
+    for rule in rules:
+        if rule.touch in (extra or {}):
+            label, expression = extra[rule.touch]
+            columns.append(F.min_by(expression, F.when(rule.matches(name, when), when)).alias(label))
+    return sends.groupBy("subscriberid").agg(*columns)
