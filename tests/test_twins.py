@@ -4,9 +4,10 @@ import pytest
 from check import duck, plain, table
 
 from __spark_entry__ import entry, oracle_sql, queries
+from wayfold.catalog.registry import QUERIES, TWINS
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, TWINS = queries(), oracle_sql()
+ALL, ALL_TWINS = queries(), oracle_sql()  # this also fills QUERIES and TWINS
 
 
 @pytest.fixture(scope="module")
@@ -15,8 +16,9 @@ def con():
 
 
 def test_every_twin_has_a_query():
-    assert set(TWINS) <= set(QUERIES)
+    assert set(ALL_TWINS) <= set(ALL)
     assert len(QUERIES) == 135
+    assert set(QUERIES) <= set(ALL)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
