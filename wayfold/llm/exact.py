@@ -73,7 +73,8 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256"
     )
     some = flagged.filter("maybe").drop("maybe")
-    groups = some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Stored, so that both sides of the join are plain shuffles and a hot digest can be split.
+    groups = cut(some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     shared = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
     out = alone.unionByName(shared).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

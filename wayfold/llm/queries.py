@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfold.llm import exact, toxicity
+from wayfold.llm import chat, exact, licenses, quality, toxicity
+from wayfold.llm.license_texts import KNOWN
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,11 +22,50 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op2_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation from every participant's point of view; masks as start:end,... text."""
+    found = chat.perspectives(_table(spark, folder, "conversations"))
+    spans = F.transform("masks", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string")))
+    return found.withColumn("masks", F.array_join(spans, ","))
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality counts and verdicts of all documents."""
+    return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts over all documents."""
     return exact.mark_copies(_table(spark, folder, "documents"))
 
 
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence digests of all documents."""
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
+OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'),
+                            replace(coalesce(text, ''), '<|', '< |')) - 1 AS n
+  FROM conversations
+), p AS (
+  SELECT DISTINCT conv_id AS of, speaker AS perspective FROM t WHERE speaker <> 'system'
+), m AS (
+  SELECT conv_id, perspective, n // 256 AS part, n, speaker = perspective AS target, body || '<|im_end|>' || chr(10) AS body,
+         CASE WHEN speaker = perspective THEN '<|im_start|>assistant' WHEN speaker = 'system' THEN '<|im_start|>system'
+              ELSE '<|im_start|>user name=' || speaker END || chr(10) AS head
+  FROM t JOIN p ON conv_id IS NOT DISTINCT FROM of
+), e AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY n) AS until FROM m
+)
+SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (target) AS n_target,
+       string_agg(head || body, '' ORDER BY n) AS text,
+       coalesce(string_agg((until - length(body))::BIGINT || ':' || until::BIGINT, ',' ORDER BY n) FILTER (target), '') AS masks
+FROM e GROUP BY conv_id, perspective, part
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -38,6 +79,13 @@ FROM d JOIN g USING (text_sha256)
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_perspectives": op2_perspectives,
+    "op4_quality": op4_quality,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_licenses": op10_licenses,
+}
+TWINS: dict[str, str] = {
+    "op2_perspectives": OP2_SQL,
+    "op8_exact_dedup": OP8_SQL,
+    "op10_licenses": licenses.twin_sql(KNOWN),
 }
-TWINS: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
