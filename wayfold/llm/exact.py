@@ -42,10 +42,10 @@ def _cells(digest: Column, bits: int) -> list[Column]:
     ]
 
 
-def repeated_cells(rows: DataFrame, digest: str, bits: int = BITS) -> DataFrame:
-    """Pass one: (map, cells) bitmaps of the filter cells that rows hit at least twice."""
+def repeated_cells(rows: DataFrame, digest: str, bits: int = BITS, least: int = 2) -> DataFrame:
+    """Pass one: (map, cells) bitmaps of the filter cells that rows hit at least ``least`` times."""
     cell = F.explode(F.array(*_cells(F.col(digest), bits))).alias("cell")
-    twice = rows.select(cell).groupBy("cell").count().filter("count > 1")
+    twice = rows.select(cell).groupBy("cell").count().filter(F.col("count") >= least)
     return twice.groupBy(F.shiftright("cell", _MAP_SHIFT).alias("map")).agg(
         F.bitmap_construct_agg(F.col("cell").bitwiseAND(_MAP_CELLS - 1)).alias("cells")
     )

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, exact, licenses, quality, toxicity
+from wayfold.llm import chat, exact, importable, licenses, neardup, quality, toxicity
 from wayfold.llm.license_texts import KNOWN
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return importable(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of near duplicates over all documents."""
+    return neardup.classes(_table(spark, folder, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts over all documents."""
     return exact.mark_copies(_table(spark, folder, "documents"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_perspectives": op2_perspectives,
     "op4_quality": op4_quality,
+    "op6_near_dedup": op6_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_licenses": op10_licenses,
 }
