@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, exact, importable, licenses, neardup, quality, toxicity
+from wayfold.llm import chat, exact, importable, licenses, neardup, quality, secrets, toxicity
 from wayfold.llm.license_texts import KNOWN
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.digest(secrets.scan(_table(spark, folder, "documents")))
+
+
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of near duplicates over all documents."""
     return neardup.classes(_table(spark, folder, "documents"))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_perspectives": op2_perspectives,
     "op4_quality": op4_quality,
+    "op5_secrets": op5_secrets,
     "op6_near_dedup": op6_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_licenses": op10_licenses,
