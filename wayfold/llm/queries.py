@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, exact, importable, licenses, neardup, quality, secrets, toxicity
+from wayfold.llm import bpe, chat, exact, importable, licenses, neardup, quality, secrets, toxicity
 from wayfold.llm.license_texts import KNOWN
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files are."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{folder}/{name}.parquet")
 
@@ -49,6 +56,11 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.mark_copies(_table(spark, folder, "documents"))
 
 
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and decoded texts of all documents, as digests."""
+    return bpe.round_trip(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Licence digests of all documents."""
     return licenses.scan(_table(spark, folder, "documents"))
@@ -94,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op5_secrets": op5_secrets,
     "op6_near_dedup": op6_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
 }
 TWINS: dict[str, str] = {
