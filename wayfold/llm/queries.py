@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, chat, exact, importable, licenses, neardup, quality, secrets, toxicity
+from wayfold.llm import bpe, chat, exact, importable, licenses, neardup, packing, quality, secrets, toxicity
 from wayfold.llm.license_texts import KNOWN
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op2_perspectives(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("masks", F.array_join(spans, ","))
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack_documents(_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality counts and verdicts of all documents."""
     return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -102,6 +107,7 @@ FROM d JOIN g USING (text_sha256)
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_perspectives": op2_perspectives,
+    "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_near_dedup": op6_near_dedup,
