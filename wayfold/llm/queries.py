@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, chat, exact, importable, licenses, neardup, packing, quality, secrets, toxicity
+from wayfold.llm import bpe, chat, exact, html, importable, licenses, neardup, packing, quality, secrets, toxicity
 from wayfold.llm.license_texts import KNOWN
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(_table(spark, folder, "documents"))
 
 
+def op7_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(_table(spark, folder, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts over all documents."""
     return exact.mark_copies(_table(spark, folder, "documents"))
@@ -111,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_near_dedup": op6_near_dedup,
+    "op7_html": op7_html,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
