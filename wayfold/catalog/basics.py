@@ -108,11 +108,19 @@ def normalize_types(t: Inputs) -> DataFrame:
 # --- sinks -----------------------------------------------------------------
 
 
-@query("write_delimited", "SELECT * FROM customer")
+# Values that a separated file can lose: separators, line breaks, quotes, blanks, empty text and null.
+_NOTES = ("a|b", "two\nlines", 'a "quote"', "  blanks  ", "", None, '"', "\\|\r\n")
+
+
+@query("write_delimited", """SELECT c.*, note FROM customer c JOIN (VALUES (0, 'a|b'), (1, 'two' || chr(10) || 'lines'),
+    (2, 'a "quote"'), (3, '  blanks  '), (4, ''), (5, NULL), (6, '"'), (7, chr(92) || '|' || chr(13) || chr(10))) AS n(k, note)
+    ON c_custkey % 8 = k""")
 def write_delimited_query(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "customer-text")
-    write_delimited(t.customer, path, "|")
-    return read_delimited(t.spark, path, t.customer.schema, "|")
+    note = F.get(F.array(*[F.lit(v) for v in _NOTES]), (F.col("c_custkey") % 8).cast("int"))
+    rows = t.customer.withColumn("note", note)
+    write_delimited(rows, path, "|")
+    return read_delimited(t.spark, path, rows.schema, "|", quoted=True)
 
 
 @query("replace_table_as", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 100000")
