@@ -76,6 +76,22 @@ def test_bounds_split(skewed, rows):
     assert rows(quantiles.bounds(skewed, ["v", "id"])) == rows(quantiles.bounds(skewed, ["v", "id"], limit=20))
 
 
+def test_limits_change_neither_names_order_types_nor_rows(spark, rows):
+    """All-null, NaN and infinite columns on both sides of the limit."""
+    inf, nan = float("inf"), float("nan")
+    data = [(k, k % 3, float(k), None, nan if k % 5 == 0 else 1.0, inf if k > 20 else -inf) for k in range(40)]
+    df = spark.createDataFrame(data, "o int, k int, v double, e double, n double, i double")
+    for run in (
+        lambda limit: quantiles.bounds(df, ["v", "e", "n", "i"], limit=limit),
+        lambda limit: quantiles.medians_by(df, ["k"], ["v", "e", "n", "i"], limit=limit),
+        lambda limit: leads(df, ["k"], [F.col("o")], ["v", "e"], limit=limit),
+        lambda limit: number_rows(df, ["k"], [F.col("o")], limit=limit),
+    ):
+        small, large = run(8), run(1_000_000)
+        assert small.dtypes == large.dtypes
+        assert repr(rows(small)) == repr(rows(large))
+
+
 def test_auc_with_ties_and_one_class(spark, rows):
     data = [(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.2), (0, 0.4)]
     df = spark.createDataFrame(data, "y int, s double")

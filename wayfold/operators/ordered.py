@@ -126,7 +126,7 @@ def leads(
             *[at(0, c).alias(c) for c in own],
             *[at(n, c).alias(f"{c}_lead{n}") for n in steps for c in columns],
         )
-        .drop("__slot")
+        .select(*df.columns, *[f"{c}_lead{n}" for n in steps for c in columns])
     )
 
 
