@@ -95,3 +95,11 @@ def test_default_settings():
         7, 1000, 0.02, 0.6, 0.6, 2,
     )
     assert (second.depth, second.rounds, second.rate, second.min_rows) == (10, 200, 0.04, 10)
+
+
+def test_many_levels_train(spark):
+    """A category with more levels than the setting has bins."""
+    df = spark.createDataFrame([(f"c{k % 70}", float(k), k % 2) for k in range(280)], "c string, v double, y int")
+    settings = model.TreeSettings(depth=2, rounds=1, rate=0.3, row_sample=1.0, column_sample=1.0)
+    fitted = model.train_gbt(df, ["v"], ["c"], "y", settings)
+    assert model.with_probability(fitted, df).where("pred_prob BETWEEN 0 AND 1").count() == 280

@@ -1,14 +1,16 @@
 """Text files, binary folders, scratch storage, records and pages."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfold import storage
 from wayfold.functions.text import strip_suffix
 from wayfold.plans import creative, listings
-from wayfold.sources.delimited import read_delimited
+from wayfold.sources.delimited import read_delimited, warn_skipped, write_delimited
 from wayfold.sources.images import scan_images
+from wayfold.sources.tables import write_clustered
 
 
 def test_delimited_rows(spark, tmp_path, rows):
@@ -20,6 +22,34 @@ def test_delimited_rows(spark, tmp_path, rows):
     assert rows(out) == [(1, 'a "b', 2.5), (2, "short", None), (4, None, None), (5, '"q"', 0.5)]
 
 
+@pytest.mark.parametrize("sep", ["|", ","])
+def test_delimited_round_trip(spark, tmp_path, rows, sep):
+    texts = ["a|b", "a,b", "two\nlines", "cr\r\nlf", 'a "quote"', '"', "", None, "  blanks  ", "\\", "\\|", "é", "#x", "\x01"]
+    df = spark.createDataFrame([(k, t, k / 3, t) for k, t in enumerate(texts)], "id int, a string, v double, b string")
+    write_delimited(df, str(tmp_path / "t"), sep)
+    assert rows(read_delimited(spark, str(tmp_path / "t"), df.schema, sep, quoted=True)) == rows(df)
+
+
+@pytest.mark.parametrize("quoted", [False, True])
+def test_long_rows_are_counted_and_warned_about(spark, tmp_path, quoted):
+    (tmp_path / "a.csv").write_text("id|name\n1|a\n2|b|more\n3\n4|c|x|y\n")
+    skipped = Observation("skipped")
+    out = read_delimited(spark, str(tmp_path), T.StructType.fromDDL("id int, name string"), quoted=quoted, skipped=skipped)
+    assert sorted(r.id for r in out.collect()) == [1, 3]
+    with pytest.warns(UserWarning, match="2 rows"):
+        assert warn_skipped(skipped, "a.csv") == 2
+
+
+@pytest.mark.parametrize("spread", [1, 4])
+def test_clustered_files(spark, tmp_path, spread):
+    df = spark.range(4000).select((F.col("id") % 97).alias("k"), "id")
+    write_clustered(df, f"wf_spread_{spread}", ["k"], 8, str(tmp_path / "c"), spread)
+    files = [f.name for f in (tmp_path / "c").glob("part-*.parquet")]
+    assert len(files) == 8 * spread
+    assert spark.table(f"wf_spread_{spread}").count() == 4000
+    spark.sql(f"DROP TABLE wf_spread_{spread}")
+
+
 def test_images(spark, tmp_path, rows):
     import base64
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from wayfold.catalog.profile import FEATURES, conversion_twin
 from wayfold.catalog.proxies import Inputs, twin
 from wayfold.catalog.registry import query, rounded
-from wayfold.catalog.relations import HOLIDAYS_SQL, YEARS
+from wayfold.catalog.relations import HOLIDAYS_SQL
 from wayfold.operators import impute, metrics, sampling
-from wayfold.operators.calendar import us_holidays
+from wayfold.operators.calendar import holidays_of
 from wayfold.operators.correlation import corr_with_target
 from wayfold.plans import conversion, model
 from wayfold.sources.fitted import load_model, save_model
@@ -266,7 +266,8 @@ _FEATURE_SQL = f"""SELECT opportunityid, c.zip, county, state, market, won, CAST
 
 @query("conversion_features", conversion_twin(_FEATURE_SQL, near=HOLIDAYS_SQL))
 def conversion_features(t: Inputs) -> DataFrame:
-    table = conversion.conversion_features(t.stored("conversion"), COLUMNS, us_holidays(t.spark, *YEARS))
+    rows = t.stored("conversion")
+    table = conversion.conversion_features(rows, COLUMNS, holidays_of(rows, COLUMNS.day))
     return rounded(table, 4, "avg_zip_won_amount", "zip_median_size_score", "zip_median_balance", "zip_median_home_value")
 
 
@@ -357,9 +358,8 @@ def top_features(t: Inputs) -> DataFrame:
 
 @query("conversion_train_eval")
 def conversion_train_eval(t: Inputs) -> DataFrame:
-    ready = conversion.prepare(
-        t.stored("conversion"), COLUMNS, us_holidays(t.spark, *YEARS), target_threshold=0.0, mutual=0.8
-    )
+    rows = t.stored("conversion")
+    ready = conversion.prepare(rows, COLUMNS, holidays_of(rows, COLUMNS.day), target_threshold=0.0, mutual=0.8)
     fitted = model.train_gbt(ready.train, ready.numeric, ready.categorical, "won", _settings())
     parts = [
         model.metrics(model.with_probability(fitted, frame), "won", name)

@@ -101,7 +101,7 @@ def _pivot_sql(row: str, column: str, values, source: str = "conversion", where:
 
 @query("pivot_month_by_year", conversion_twin(_pivot_sql("fiscalmonth", "fiscalyear", ALL_YEARS)))
 def pivot_month_by_year(t: Inputs) -> DataFrame:
-    table = aggregates.pivot_count(t.conversion.where("won = 1"), "fiscalmonth", "fiscalyear", ALL_YEARS)
+    table = aggregates.pivot_count(t.conversion.where("won = 1"), "fiscalmonth", "fiscalyear")
     return table.orderBy(aggregates.in_given_order(F.col("fiscalmonth"), MONTHS))
 
 
@@ -109,7 +109,7 @@ def pivot_month_by_year(t: Inputs) -> DataFrame:
     _pivot_sql("fiscalweek", "fiscalyear", ALL_YEARS, where="AND fiscalweek BETWEEN 1 AND 52")))
 def pivot_week_by_year(t: Inputs) -> DataFrame:
     won = t.conversion.where("won = 1 AND fiscalweek BETWEEN 1 AND 52")
-    return aggregates.pivot_count(won, "fiscalweek", "fiscalyear", ALL_YEARS).orderBy("fiscalweek")
+    return aggregates.pivot_count(won, "fiscalweek", "fiscalyear").orderBy("fiscalweek")
 
 
 _REGIONS = ("AFRICA", "AMERICA", "EUROPE", "MIDDLE EAST", "Others")
@@ -124,7 +124,7 @@ def _with_region(t: Inputs) -> DataFrame:
 @query("pivot_year_by_region", twin(_pivot_sql("fiscalyear", "region", _REGIONS, "r"), "conversion", "branches",
                                     r=_WITH_REGION))
 def pivot_year_by_region(t: Inputs) -> DataFrame:
-    return aggregates.pivot_count(_with_region(t), "fiscalyear", "region", _REGIONS).orderBy("fiscalyear")
+    return aggregates.pivot_count(_with_region(t), "fiscalyear", "region").orderBy("fiscalyear")
 
 
 @query("pivot_week_by_region", twin(
@@ -132,7 +132,7 @@ def pivot_year_by_region(t: Inputs) -> DataFrame:
     r=_WITH_REGION))
 def pivot_week_by_region(t: Inputs) -> DataFrame:
     weeks = _with_region(t).where("fiscalweek BETWEEN 1 AND 52")
-    return aggregates.pivot_count(weeks, "fiscalweek", "region", _REGIONS).orderBy("fiscalweek")
+    return aggregates.pivot_count(weeks, "fiscalweek", "region").orderBy("fiscalweek")
 
 
 _PROFILED = (*FEATURES, "won_amount", "mostly_missing_b", "dwelling_type", "buying_power_score", "market")

@@ -11,13 +11,12 @@ from wayfold.catalog.journey import OPENS_SQL, UNSUBS_SQL, flags_sql
 from wayfold.catalog.proxies import MONTHS, Inputs, twin
 from wayfold.catalog.registry import query, rounded
 from wayfold.operators import aggregates, frames, joins
-from wayfold.operators.calendar import near_holiday_flag, us_holidays
+from wayfold.operators.calendar import holidays_of, near_holiday_flag
 from wayfold.operators.quantiles import medians_by
 from wayfold.operators.sampling import split_fraction
 from wayfold.plans import engagement
 from wayfold.storage import cut
 
-YEARS = (1990, 2030)
 
 
 # --- joins -----------------------------------------------------------------
@@ -147,7 +146,7 @@ HOLIDAYS_SQL = "SELECT CAST(d AS DATE) AS d FROM (VALUES " + ", ".join(
     near=HOLIDAYS_SQL))
 def near_holiday(t: Inputs) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
-    return near_holiday_flag(rows, "day", us_holidays(t.spark, *YEARS))
+    return near_holiday_flag(rows, "day", holidays_of(rows, "day"))
 
 
 @query("attach_target", twin("SELECT opportunityid, balance, discount, won FROM conversion", "conversion"))

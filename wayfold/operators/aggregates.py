@@ -51,15 +51,16 @@ def share_of_total(df: DataFrame, keys: Sequence[str], count: str = "n", share:
     return group_size(df, keys, count).withColumn(share, rate(F.col(count), total) * 100)
 
 
-def pivot_count(df: DataFrame, rows: str, columns: str, values: Sequence[object] | None = None) -> DataFrame:
+def pivot_count(
+    df: DataFrame, rows: str, columns: str, values: Sequence[object] | None = None, limit: int = PIVOT_LIMIT
+) -> DataFrame:
     """Count table of ``rows`` by ``columns``; combinations never seen are NULL.
 
-    Without ``values`` the column levels are read first, and a column with more
-    than ``PIVOT_LIMIT`` levels is refused.
+    Without ``values`` the column levels are read first, and more than ``limit`` of them are refused.
     """
     known = df.where(F.col(rows).isNotNull() & F.col(columns).isNotNull())
     if values is None:
-        values = levels_of(known, columns)
+        values = levels_of(known, columns, limit)
     return known.groupBy(rows).pivot(columns, list(values)).agg(F.count(F.lit(1)))
 
 

@@ -27,13 +27,13 @@ def write_clustered(
 ) -> DataFrame:
     """Store a table bucketed and sorted on its key, so joins on the key need no shuffle.
 
-    Rows are placed by the bucket key first, so each bucket is ``spread`` files;
-    more than one lets several tasks write the bucket of a very large key.
+    Each bucket is at most ``spread`` files: rows go to the task of their bucket, which is the key's
+    hash as the writer computes it, and of one of ``spread`` salts. More than one lets several tasks write
+    the bucket of a very large key.
     """
-    place = [F.col(k) for k in keys]
-    if spread > 1:
-        place.append(F.pmod(F.xxhash64(*df.columns), F.lit(spread)))
-    writer = df.repartition(buckets * spread, *place).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    bucket = F.pmod(F.hash(*keys), F.lit(buckets))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread)).cast("int")
+    writer = df.repartitionById(buckets * spread, bucket * spread + salt).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(name)
