@@ -21,15 +21,15 @@ def grid(names, values):
 
 
 LADDERS = {
-    "1st": (attribution.attribute_first, sql._first_sql, ("1_2", "2_3", "2_4", "2_5", "2_8"), (None, 0, 2)),
-    "2nd": (attribution.attribute_second, sql._second_sql, ("1_2", "2_1", "2_2", "3_2", "3_3", "3_4", "3_5"), (None, 0, 2)),
-    "3rd": (attribution.attribute_third, sql._third_sql, ("3_1", "4_2", "4_3", "4_4"), (None, 0, 1, 2, 3)),
+    "1st": (attribution.attribute_first, ("1_2", "2_3", "2_4", "2_5", "2_8"), (None, 0, 2)),
+    "2nd": (attribution.attribute_second, ("1_2", "2_1", "2_2", "3_2", "3_3", "3_4", "3_5"), (None, 0, 2)),
+    "3rd": (attribution.attribute_third, ("3_1", "4_2", "4_3", "4_4"), (None, 0, 1, 2, 3)),
 }
 
 
 @pytest.mark.parametrize("nth", LADDERS)
 def test_ladder_on_every_combination(nth, spark):
-    build, text, names, values = LADDERS[nth]
+    build, names, values = LADDERS[nth]
     stamp = lambda d: None if d is None else DAY + timedelta(days=d)
     lines = []
     for combo in grid(names, values):
@@ -41,7 +41,7 @@ def test_ladder_on_every_combination(nth, spark):
     label = build(F.col(columns[1]), {n: F.col(f"t{n}") for n in names})
     mine = {r["id"]: r["label"] for r in df.select("id", label.alias("label")).collect()}
     frame = df.toPandas()  # noqa: F841
-    expression = text()
+    expression = sql.attribution_sql(nth)
     for n in names:
         expression = expression.replace(f"t{n}.senttime", f"t{n}")
     theirs = dict(duckdb.sql(f"SELECT id, {expression} AS label FROM frame").fetchall())
@@ -87,15 +87,15 @@ def test_offer_rules_on_every_combination(spark):
     )
     frame = df.toPandas()  # noqa: F841
     query = f"""WITH m AS (SELECT id, v2 AS offer_3_3_variants, v3 AS offer_4_3_variants, spend AS _2nd_txn_netsales,
-            {{'offercatalogcampaignkey': k0, 'redemptiondate': d0}} AS coupon2,
+            {{'offercatalogcampaignkey': k0, 'redemptiondate': d0}} AS second_coupon,
             {{'name': n2, 'redemptiondate': d2, 'total_points_awarded': p2,
-              'loyaltymemberkey': CASE WHEN n2 IS NOT NULL THEN 1 END}} AS reward2,
+              'loyaltymemberkey': CASE WHEN n2 IS NOT NULL THEN 1 END}} AS second_reward,
             {{'offercatalogcampaignkey': side, 'redemptiondate': d0,
-              'loyaltymemberkey': CASE WHEN side IS NOT NULL THEN 1 END}} AS side,
-            {{'offercatalogcampaignkey': one, 'redemptiondate': d0}} AS coupon1 FROM
+              'loyaltymemberkey': CASE WHEN side IS NOT NULL THEN 1 END}} AS side_coupon,
+            {{'offercatalogcampaignkey': one, 'redemptiondate': d0}} AS first_coupon FROM
             (SELECT * REPLACE (CAST(d0 AS DATE) AS d0, CAST(d2 AS DATE) AS d2, nullif(p2, 'NaN'::DOUBLE) AS p2,
-             nullif(spend, 'NaN'::DOUBLE) AS spend) FROM frame)), n AS (SELECT *, reward2 AS reward3 FROM m)
-        SELECT id, {sql.OFFER_LIST} FROM n ORDER BY id"""
+             nullif(spend, 'NaN'::DOUBLE) AS spend) FROM frame)), n AS (SELECT *, second_reward AS third_reward FROM m)
+        SELECT id, {sql.OFFER_LIST} FROM n {sql.OFFER_JOINS} ORDER BY id"""
     cur = duckdb.sql(query)
     names = [n for n in out.columns if n in cur.columns]
     fix = lambda v: round(v, 9) if isinstance(v, float) else v
