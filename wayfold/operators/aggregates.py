@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.storage import cut
+
 PIVOT_LIMIT = 1000
 
 
@@ -46,9 +48,10 @@ def ratio_of_sums(df: DataFrame, key: str, numerator: str, denominator: str, nam
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], count: str = "n", share: str = "percentage") -> DataFrame:
-    """Rows per group and their percentage of all grouped rows."""
-    total = df.dropna(subset=list(keys)).agg(F.count(F.lit(1)).alias("total")).scalar()
-    return group_size(df, keys, count).withColumn(share, rate(F.col(count), total) * 100)
+    """Rows per group and their percentage of all grouped rows; the rows are read once."""
+    sizes = cut(group_size(df, keys, count), "sizes")
+    total = sizes.agg(F.sum(count).alias("total")).scalar()
+    return sizes.withColumn(share, rate(F.col(count), total) * 100)
 
 
 def pivot_count(
