@@ -15,7 +15,7 @@ from wayfold.catalog.relations import HOLIDAYS_SQL
 from wayfold.operators import impute, metrics, sampling
 from wayfold.operators.calendar import holidays_of
 from wayfold.operators.correlation import corr_with_target
-from wayfold.plans import conversion, model
+from wayfold.plans import conversion, model, scoring
 from wayfold.sources.fitted import load_model, save_model
 from wayfold.storage import cut, scratch_path
 
@@ -298,13 +298,20 @@ def train_gbt(t: Inputs) -> DataFrame:
     return model.metrics(model.with_probability(fitted, rows), "won", "train")
 
 
-@query("score_batch")
+@query("score_batch", conversion_twin("""SELECT opportunityid, zip, TRUE AS in_range, TRUE AS same_score FROM conversion
+    WHERE CAST(creationdate AS DATE) BETWEEN DATE '1997-02-01' AND DATE '1997-03-31'"""))
 def score_batch(t: Inputs) -> DataFrame:
-    rows = _training_rows(t)
-    fitted = model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", _settings())
-    return model.score_batch(
-        fitted, rows, ["opportunityid", "zip"], "creationdate", date(1997, 2, 1), date(1997, 3, 31)
-    )
+    rows, path = t.stored("conversion"), scratch_path(t.spark, "scoring")
+    ready = conversion.prepare(rows, COLUMNS, holidays_of(rows, COLUMNS.day), target_threshold=0.0, mutual=0.8)
+    fitted = model.train_gbt(ready.train, ready.numeric, ready.categorical, "won", _settings(2))
+    scoring.save_scoring(ready, fitted, path)
+    batch = (["opportunityid", "zip"], date(1997, 2, 1), date(1997, 3, 31))
+    saved = scoring.score_saved(rows, COLUMNS, path, *batch)
+    here = scoring.score_fitted(rows, COLUMNS, ready.fit, ready.tables, fitted, *batch, name="here").drop("zip")
+    return saved.join(here, "opportunityid").select(
+        "opportunityid", "zip", F.col("pred_prob").between(0, 1).alias("in_range"),
+        (F.col("pred_prob") == F.col("here")).alias("same_score"),
+    )
 
 
 @query("save_load_model", conversion_twin("SELECT opportunityid, TRUE AS same_score FROM conversion"))
