@@ -17,11 +17,11 @@ points besides.
 Candidates. Texts with equal words are one node from the start. ``BANDS`` bands of ``ROWS``
 slots put nodes into buckets; a pair at the threshold shares a bucket with probability
 1 - (1 - 0.8^6)^32 = 0.9999. In a bucket no pairs are listed at first: all members are
-compared with one hub (the member with the smallest hash), then those still in another
-class than a hub with ever more hubs, until every member has been a hub or all are in one
-class. Each pair of a bucket is thus either verified or already connected, and a group of
-copies costs one comparison a member. Only members that stay unlinked cost more, because
-nothing but comparing shows that two texts are not linked.
+compared with one hub (the member with the smallest hash), so a group of copies costs one
+comparison a member. Where a bucket then still has several classes, members that hold too many
+elements of their own to be linked to anything leave it, by counting. The rest are compared with each other,
+block against block, by one matrix product for two blocks. So each pair of a bucket is verified, already
+connected, or proven to be no link.
 
 Verification counts the common runs of five words of the whole texts by 64-bit hashes.
 
@@ -50,8 +50,9 @@ THRESHOLD = 0.8
 BANDS = 32
 ROWS = 6
 SLOTS = BANDS * ROWS
-#: Hubs of a bucket in each round; after the last number, all other members.
-HUBS = (1, 16, 256)
+#: Texts of a block, and unit elements of a product, when a bucket's members are compared with each other.
+BLOCK = 256
+CHUNK = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -193,17 +194,22 @@ def _verify(batches):
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) of the nodes on ``edges`` (a, b): the smallest node each is connected to.
 
-    Every node takes the smallest label among itself and its neighbours and then the label
-    of that label, until no label changes; each round is written to the shared folder.
+    Every node takes the smallest label among itself and its neighbours; after two rounds, which are
+    enough around hubs, also the label of that label, which halves the rounds of long chains. Each round is
+    written to the shared folder, and the last one changes nothing.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{label}-edges")
     roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), label)
+    turn = 0
     while True:
-        seen = both.join(roots, F.col("b") == F.col("node")).groupBy(F.col("a").alias("of")).agg(F.min("root").alias("near"))
-        step = roots.join(seen, F.col("node") == F.col("of")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("to"))
-        jump = roots.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        after = step.join(jump, F.col("to") == F.col("at")).select("node", "old", F.least("to", "next").alias("root"))
-        after = cut(after, label)
+        told = both.join(roots, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "root", F.lit(None).cast("binary").alias("old"))
+        own = roots.select("node", "root", F.col("root").alias("old"))
+        after = told.unionByName(own).groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
+        if turn >= 2:
+            after = cut(after, label)
+            jump = after.select(F.col("node").alias("at"), F.col("root").alias("next"))
+            after = after.join(jump, F.col("root") == F.col("at")).select("node", F.least("root", "next").alias("root"), "old")
+        after, turn = cut(after, label), turn + 1
         roots = after.select("node", "root")
         if after.where("old <> root").isEmpty():
             return roots
@@ -218,29 +224,123 @@ def _classes(members: DataFrame, links: DataFrame | None) -> DataFrame:
     return joined.withColumn("class", F.coalesce("root", "node")).drop("of", "root")
 
 
+def _elements(batches):
+    """(node, element, weight) of texts given as (node, text)."""
+    for batch in batches:
+        for node, (element, weight) in zip(batch.column(0).to_pylist(), _bags_of(batch.column(1)), strict=True):
+            columns = [pa.array([node] * len(element), pa.binary()), pa.array(element.view(np.int64)), pa.array(weight.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "element", "weight"])
+
+
+def _hopeful(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members of buckets that can be linked to anything there at all.
+
+    Two texts of total weight m and n that are linked share at least T / (1 + T) of m + n, and n is at least T of m. An
+    element that only one of all these texts holds is shared with none, so a text with too many of them is
+    linked to nothing. In a large group of copies that differ here and there, this settles those that differ too
+    much by counting, where comparing would need every pair.
+    """
+    nodes = members.select("node").distinct()
+    held = texts.select("node", "text").join(nodes, "node", "left_semi").mapInArrow(_elements, "node binary, element long, weight long")
+    held = cut(held, "elements")
+    single = held.groupBy("element").agg(F.count("*").alias("holders"), F.first("node").alias("of"), F.first("weight").alias("weight"))
+    alone = single.where("holders = 1").groupBy("of").agg(F.sum("weight").alias("alone"))
+    sizes = held.groupBy("node").agg(F.sum("weight").alias("total")).join(alone, F.col("node") == F.col("of"), "left")
+    sizes = cut(sizes.select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("common")), "sizes")
+    placed = cut(members.join(sizes, "node"), "placed")
+    least = cut(placed.groupBy("key").agg(F.min("total").alias("smallest")), "smallest")
+    other = F.greatest(F.col("smallest"), F.col("total") * F.lit(THRESHOLD))
+    needed = (F.col("total") + other) * F.lit(THRESHOLD / (1 + THRESHOLD)) - F.lit(1e-6)
+    return placed.join(least, "key").where(F.col("common") >= needed).select("key", "node", "u")
+
+
+def _mixed(members: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
+    """Members with their classes so far, the buckets (key, size, u0) of several classes, and the largest one's size."""
+    now = cut(_classes(members, links), "classes")
+    found = now.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.min("u").alias("u0"))
+    buckets = cut(found.where("c0 < c1").select("key", "size", "u0"), "buckets")
+    return now, buckets, buckets.agg(F.max("size")).first()[0] or 0
+
+
+def _hub_links(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links of bucket members with their bucket's hub, the member with the smallest ``u``."""
+    hub = left.where(F.col("u") == F.col("u0")).select("key", F.col("node").alias("a"))
+    pairs = cut(left.join(hub, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left_text")), "a")
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right_text")), "b")
+    return cut(two.select("a", "b", "left_text", "right_text").mapInArrow(_verify, "a binary, b binary"), "links")
+
+
+def overlaps(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """Common weight of every two rows, by products of their unit incidences; columns come in bounded chunks."""
+    # An element of weight w is w unit elements (element, 1) to (element, w): common units are the smaller weight.
+    level = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    row, element = np.repeat(row, weight), np.repeat(element, weight)
+    _, unit, holders = np.unique(np.stack([element.view(np.int64), level]), axis=1, return_inverse=True, return_counts=True)
+    unit = unit.reshape(-1)
+    shared = holders[unit] > 1
+    row, (_, unit) = row[shared], np.unique(unit[shared], return_inverse=True)
+    order = np.argsort(unit, kind="stable")
+    row, unit = row[order], unit[order]
+    out = np.zeros((rows, rows), np.float64)
+    edges = np.searchsorted(unit, np.arange(0, (unit[-1] if len(unit) else 0) + 1 + CHUNK, CHUNK))
+    for at, end in zip(edges[:-1], edges[1:], strict=True):
+        if end > at:
+            dense = np.zeros((rows, CHUNK), np.float32)
+            dense[row[at:end], unit[at:end] - unit[at] // CHUNK * CHUNK] = 1
+            out += dense @ dense.T
+    return out
+
+
+def _block_links(key, table: pa.Table) -> pa.Table:
+    """Links, enough to connect, between the texts of two blocks of a bucket that are not in one class yet."""
+    nodes, classes = table.column("node").to_pylist(), table.column("class").to_pylist()
+    found = list(_bags_of(table.column("text")))
+    size = np.array([w.sum() for _, w in found], float)
+    row = np.repeat(np.arange(len(found)), [len(e) for e, _ in found])
+    common = overlaps(row, np.concatenate([e for e, _ in found]), np.concatenate([w for _, w in found]).astype(np.int64), len(found))
+    near = common >= THRESHOLD * (size[:, None] + size[None, :] - common)
+    root: dict[bytes, bytes] = {}
+
+    def top(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        one, other = top(classes[i]), top(classes[j])
+        if one != other:
+            root[max(one, other)] = min(one, other)
+            links.append((nodes[i], nodes[j]))
+    return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
+
+
+def _rest_links(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between all members of a bucket that are still in different classes, block against block.
+
+    A member goes to one block by its hash and from there to a group for each block of its bucket; a group
+    holds two blocks, about 2 * ``BLOCK`` texts, however large the bucket is.
+    """
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK))
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), blocks)
+    dealt = left.select("key", "node", "class", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    placed = dealt.join(texts, "node").select("key", "node", "class", "text", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    return cut(placed.groupBy("key", "x", "y").applyInArrow(_block_links, "a binary, b binary").distinct(), "links")
+
+
 def _links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Verified links (a, b) between nodes that share a bucket, enough to connect every linked pair."""
-    links = None
-    low = F.lit(-1.0)
-    for hubs in (*HUBS, None):
-        now = cut(_classes(members, links), "classes")
-        mixed_ = now.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.min("u").alias("u0"))
-        mixed_ = cut(mixed_.where("c0 < c1").select("key", "size", "u0"), "buckets")
-        if mixed_.isEmpty():
-            break
-        left = now.join(mixed_, "key")
-        # The hubs so far are the members below a share of the hash range that holds that many; the first one always.
-        high = F.lit(1.0) if hubs is None else F.greatest(F.least(F.lit(hubs) / F.col("size"), F.lit(1.0)), F.col("u0"))
-        hub = left.where((F.col("u") <= high) & (F.col("u") > low)).select("key", F.col("node").alias("a"), F.col("u").alias("ua"), F.col("class").alias("ca"))
-        pair = left.select("key", F.col("node").alias("b"), "u", "class").join(hub, "key").where("ua < u AND ca <> class")
-        pairs = cut(pair.select("a", "b").distinct(), "pairs")
-        one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left_text")), "a")
-        two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right_text")), "b")
-        found = cut(two.select("a", "b", "left_text", "right_text").mapInArrow(_verify, "a binary, b binary"), "links")
-        links = found if links is None else links.unionByName(found)
-        if hubs is not None:
-            low = high
-    return links
+    now, buckets, largest = _mixed(members, None)
+    if not largest:
+        return None
+    links = _hub_links(now.join(buckets, "key"), texts)
+    now, buckets, largest = _mixed(members, links)
+    if not largest:
+        return links
+    rest = cut(_hopeful(now.join(buckets, "key").select("key", "node", "u"), texts), "rest")
+    now, buckets, largest = _mixed(rest, links)
+    return links.unionByName(_rest_links(now.join(buckets, "key"), texts)) if largest else links
 
 
 def _with_node(rows: DataFrame) -> DataFrame:
