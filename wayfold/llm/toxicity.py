@@ -6,7 +6,9 @@ standard errors of zero, gets a small negative score instead. Every maximal segm
 total score is found in one linear scan per text, and the scores of a text's segments are
 aggregated by their extreme-value distribution: among n clean tokens the number of
 segments above S is about K n exp(-lambda S). The surprise over all segments that are
-significant there becomes a probability through a logistic curve.
+significant there becomes a probability through a logistic curve, whose second input is the
+text's length, because chance hits gather in long texts; a text without evidence gets the share of toxic
+ones among such training texts.
 
 Tokens are hashed into ``BUCKETS`` cells, so the model has a fixed size at any corpus
 size. All counting and scoring covers whole texts. The classifier is fitted on at most
@@ -42,7 +44,6 @@ PRIOR = 0.05
 NEUTRAL = -0.05
 TRAIN_ROWS = 100_000
 THRESHOLD = 0.7
-_BINS = 1000
 
 
 @dataclass(frozen=True)
@@ -53,8 +54,8 @@ class Model:
     weights: np.ndarray
     decay: float
     scale: float
-    slope: float
-    offset: float
+    curve: tuple[float, float, float]  # slopes of evidence and length, and offset
+    silent: float  # the score of a text without evidence
 
 
 def held_out(id_col: Column) -> Column:
@@ -186,21 +187,24 @@ def _training_segments(buckets, weights, batches):
         )
 
 
-def _logistic(x: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and offset of a logistic curve through binned counts, by Newton steps."""
-    n, theta = clean + toxic, np.array([0.0, np.log((toxic.sum() + 1) / (clean.sum() + 1))])
-    design = np.stack([x, np.ones_like(x)], axis=1)
-    for _ in range(50):
+def _logistic(x: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
+    """Slopes and offset of a logistic curve through binned counts, by Newton steps."""
+    design = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    n, theta = clean + toxic, np.zeros(design.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        slope = design.T @ (toxic - n * p) - 1e-3 * theta
-        bend = (design * (n * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        slope = design.T @ (toxic - n * p) - 1e-2 * theta
+        bend = (design * (n * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(len(theta))
         theta = theta + np.clip(np.linalg.solve(bend, slope), -2, 2)
-    return max(float(theta[0]), 0.0), float(theta[1])
+    return max(float(theta[0]), 0.0), float(theta[1]), float(theta[2])
 
 
-def _curve_input(total):
-    """Evidence grows without bound while the odds do not: the curve is fitted to its logarithm."""
-    return np.log1p(total)
+def probability(model: Model, total: float, n: int) -> float:
+    """The score of a text of n tokens with this evidence, which grows without bound while the odds do not."""
+    if total <= 0:
+        return model.silent
+    a, b, c = model.curve
+    return float(1 / (1 + np.exp(-np.clip(a * np.log1p(total) + b * np.log1p(n) + c, -500, 500))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model | None:
@@ -222,10 +226,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     floor = F.log(F.greatest(F.lit(scale) * F.col("n"), F.lit(1e-12)))
     over = F.transform(F.col("scores"), lambda s: F.when(decay * s > F.greatest(floor, F.lit(0.0)), decay * s - floor).otherwise(0.0))
     total = F.aggregate(over, F.lit(0.0), lambda a, b: a + b)
-    bin_ = F.least(F.floor(F.log1p(total) * 100), F.lit(_BINS)).cast("int").alias("bin")
-    bins = seen.groupBy(bin_).agg(F.sum(F.expr("int(toxic = 0)")).alias("clean"), F.sum(F.expr("int(toxic > 0)")).alias("toxic")).toPandas()
-    slope, offset = _logistic((bins["bin"].to_numpy() + 0.5) / 100, bins["clean"].to_numpy(float), bins["toxic"].to_numpy(float))
-    return Model(buckets, weights, decay, scale, slope, offset)
+    # Counts per cell of evidence and length: both are logarithms, so the cells are few at any corpus size.
+    cell = [F.round(F.log1p(total) * 20).cast("int").alias("evidence"), F.round(F.log1p("n") * 4).cast("int").alias("length")]
+    classes = [F.sum(F.expr("int(toxic = 0)")).alias("clean"), F.sum(F.expr("int(toxic > 0)")).alias("toxic")]
+    cells = seen.groupBy(*cell).agg(*classes).toPandas()
+    loud = cells[cells["evidence"] > 0]
+    curve = (1.0, 0.0, 0.0)
+    if len(loud):
+        x = np.stack([loud["evidence"].to_numpy() / 20, loud["length"].to_numpy() / 4], axis=1)
+        curve = _logistic(x, loud["clean"].to_numpy(float), loud["toxic"].to_numpy(float))
+    quiet_ones = cells[cells["evidence"] <= 0]
+    silent = (quiet_ones["toxic"].sum() + 0.5) / (quiet_ones["toxic"].sum() + quiet_ones["clean"].sum() + 5)
+    return Model(buckets, weights, decay, scale, curve, float(silent))
 
 
 _FOUND = "score double, evidence double, n_tokens long, passages array<struct<first:long,end:long,surprise:double>>"
@@ -245,8 +257,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             out = []
             for n, found in [(0, [])] * batch.num_rows if model is None else _scored(batch.column(0), table):
                 total, strong = evidence(n, found, model.decay, model.scale) if found else (0.0, [])
-                p = 0.0 if model is None else 1 / (1 + np.exp(-(model.slope * _curve_input(total) + model.offset)))
-                out.append((float(p), float(total), n, [{"first": a, "end": b, "surprise": float(x)} for a, b, x in strong]))
+                p = 0.0 if model is None else probability(model, total, n)
+                out.append((p, float(total), n, [{"first": a, "end": b, "surprise": float(x)} for a, b, x in strong]))
             kinds = [pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("surprise", pa.float64())]))]
             columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(1), *columns], [what, "score", "evidence", "n_tokens", "passages"])
