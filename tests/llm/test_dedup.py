@@ -88,6 +88,34 @@ def test_signatures_estimate_weighted_similarity():
     assert true[1] == sum((bag(column[2].as_py()) & bag(column[3].as_py())).values()) / sum((bag(column[2].as_py()) | bag(column[3].as_py())).values())
 
 
+def test_overlaps_equal_plain_ones(monkeypatch):
+    """Matrix products in chunks of columns give the common weight of every pair, repeated elements included."""
+    monkeypatch.setattr(neardup, "CHUNK", 32)
+    chance, base = random.Random(4), [f"w{k % 37}" for k in range(200)]
+    texts = [" ".join(w if chance.random() > 0.05 else f"z{chance.randrange(30)}" for w in base) for _ in range(25)] + ["a b c d e f " * 30] * 2 + ["q"]
+    found = list(neardup._bags_of(pa.array(texts)))
+    row = np.repeat(np.arange(len(found)), [len(e) for e, _ in found])
+    common = neardup.overlaps(row, np.concatenate([e for e, _ in found]), np.concatenate([w for _, w in found]).astype(np.int64), len(texts))
+    bags = [bag(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            assert common[i, j] == sum((bags[i] & bags[j]).values())
+
+
+def test_many_blocks_and_members_without_hope(spark, monkeypatch):
+    """A large group around the threshold, with blocks of a few texts, against all pairs."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    chance, base = random.Random(6), [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for j in chance.sample(range(150), chance.choice([0, 1, 2, 3, 4, 6, 9])):
+            words[j] = f"e{k}x{j}"
+        rows.append((k, " ".join(words)))
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(near_classes(rows))
+
+
 def test_near_classes_of_odd_rows(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     got = sorted(((r.doc_id, r.class_id, r.class_size) for r in neardup.classes(odd).collect()), key=repr)
