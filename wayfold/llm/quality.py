@@ -60,6 +60,15 @@ def with_features(docs: DataFrame) -> DataFrame:
     return hashed.withColumn("f", F.concat(F.transform("w", lambda a: F.pmod(a, F.lit(BUCKETS))), pairs))
 
 
+def exploded_features(docs: DataFrame) -> DataFrame:
+    """(good, bucket): the same features of (text, good), one a row, by expressions that Spark compiles."""
+    one = words(F.col("text"))
+    pairs = docs.select("good", one.alias("a")).select("good", F.explode(F.arrays_zip("a", F.slice("a", 2, F.greatest(F.size("a"), F.lit(1))).alias("b"))).alias("p"))
+    hashed = pairs.select("good", F.xxhash64("p.a").alias("a"), F.when(F.col("p.b").isNotNull(), F.xxhash64("p.b")).alias("b"))
+    both = F.array(F.pmod("a", F.lit(BUCKETS)), F.when(F.col("b").isNotNull(), F.pmod(F.xxhash64("a", "b"), F.lit(BUCKETS))))
+    return hashed.select("good", F.explode(both).alias("bucket")).where("bucket IS NOT NULL")
+
+
 def _mean_ratio(ratios: tuple[int, ...]) -> Column:
     """The mean log ratio of the features ``f``; 0 without features."""
     # A cast of a constant is folded while the query is planned; a lambda would run for every feature.
@@ -132,8 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = rows.join(ids, F.col("id") == F.col("trusted_id"), "left")
     counts = (
-        with_features(marked.select("text", F.coalesce(~F.col("aside"), F.lit(False)).cast("long").alias("good")))
-        .select("good", F.explode("f").alias("bucket"))
+        exploded_features(marked.select("text", F.coalesce(~F.col("aside"), F.lit(False)).cast("long").alias("good")))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
         .collect()  # BUCKETS rows at most
