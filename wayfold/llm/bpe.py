@@ -6,9 +6,9 @@ table of distinct words; each is encoded once. Its ids are joined to an id-to-pi
 vocabulary, which has a fixed size and is broadcast, for its decoded form. Both are
 joined back to the blocks' lists, and every text is put together by position.
 
-What shuffles is one row per block and distinct word, and one short compressed list of
-places per text; texts themselves stay where they are read. No word can become hot, as it
-has one row a block.
+What shuffles is one row per block and distinct word, and short compressed lists of
+places; texts themselves stay where they are read. No word can become hot, as it has one
+row a block.
 
 Words are split here only in texts of plain Latin letters, digits, punctuation and white
 space, where the rules are few. Any other text, and one that holds a special token's
@@ -31,11 +31,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from wayfold.storage import cut
 
 BLOCK_CHARS = 24_000_000
+#: Texts whose places are compressed together.
+TOGETHER = 256
 
 # The tokenizer's splitting rule on plain Latin text in lower case.
 _LETTER = "a-zªµºß-öø-ÿĀ-ɏ"
@@ -71,8 +74,11 @@ def _unpacked(blob: bytes, spread: zstandard.ZstdDecompressor) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def _blocks(batches, id_type: pa.DataType, block_chars: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, id, places) of texts and (block, place, word) of words."""
+def _blocks(batches, id_type: pa.DataType, block_chars: int, texts: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (of, ids, lengths, places) of a block's texts, or rows (at, word) of its words.
+
+    A block's number is its partition's and its own there; ``at`` is that number and the word's place in the block.
+    """
     from pyspark import TaskContext
 
     squeeze = zstandard.ZstdCompressor(level=6)
@@ -80,22 +86,22 @@ def _blocks(batches, id_type: pa.DataType, block_chars: int) -> Iterator[pa.Reco
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
 
     def block():
-        all_words = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        all_words = np.concatenate(lists)
         ranks, order = _places(all_words, np.bincount(all_words, minlength=len(known)))
-        ends = np.cumsum([len(x) for x in lists])
-        blobs = [_packed(x, squeeze) for x in np.split(ranks, ends[:-1])] if lists else []
-        name = (part << 32) | number
-        n = len(ids)
-        yield _rows([name] * n, pa.array(ids, id_type), blobs, [None] * n, [None] * n)
+        name = part << 10 | number
+        if texts:
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+            for at in range(0, len(ids), TOGETHER):
+                end = min(at + TOGETHER, len(ids))
+                blob = _packed(ranks[ends[at] : ends[end]], squeeze)
+                columns = [pa.array([name]), pa.array([ids[at:end]], pa.list_(id_type)), pa.array([np.diff(ends[at : end + 1])], pa.list_(pa.int32())), pa.array([blob])]
+                yield pa.RecordBatch.from_arrays(columns, ["of", "ids", "lengths", "places"])
+            return
         words = list(known)
         for at in range(0, len(order), 50_000):
             some = order[at : at + 50_000]
-            m = len(some)
-            yield _rows([name] * m, pa.nulls(m, id_type), [None] * m, list(range(at, at + m)), [words[k] for k in some])
-
-    def _rows(name, id_, blobs, place, word):
-        columns = [pa.array(name, pa.int64()), id_, pa.array(blobs, pa.binary()), pa.array(place, pa.int32()), pa.array(word, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, ["block", "id", "places", "place", "word"])
+            columns = [pa.array((name << 32) + np.arange(at, at + len(some))), pa.array([words[k] for k in some], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["at", "word"])
 
     for batch in batches:
         for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -103,7 +109,7 @@ def _blocks(batches, id_type: pa.DataType, block_chars: int) -> Iterator[pa.Reco
             lists.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
             ids.append(id_)
             chars += len(text or "")
-            if chars >= block_chars:
+            if chars >= block_chars and number < 1023:  # the 1,024th block of a partition takes the rest
                 yield from block()
                 ids, lists, known, chars, number = [], [], {}, 0, number + 1
     if ids:
@@ -142,15 +148,21 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
                 out += [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(batch.iloc[at : at + 2000].tolist(), add_special_tokens=False)]
             yield pd.Series(out, index=batch.index, dtype=object)
 
-    return words.withColumn("ids", ids("word"))
+    # Named nondeterministic so that no filter moves a second run of it below the grouping of the words.
+    return words.withColumn("ids", ids.asNondeterministic()("word"))
 
 
 def decode_words(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(word, ids, decoded) by a join of every id with its piece, put together by position."""
-    single = encoded.select("word", F.posexplode("ids").alias("at", "id"))
+    """(word, at, ids, decoded) of (word, at, ids): every id joined with its piece, put together by position.
+
+    The rows are grouped by word already, so nothing shuffles.
+    """
+    single = encoded.select("word", "at", F.posexplode("ids").alias("k", "id"))
     named = single.join(F.broadcast(vocab.select(F.col("id").alias("of"), "piece")), F.col("id") == F.col("of"), "left")
-    rows = named.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "id", F.coalesce("piece", F.lit("")).alias("piece")))).alias("x"))
-    return rows.select("word", F.col("x.id").alias("ids"), F.array_join(F.col("x.piece"), " ").alias("decoded"))
+    pieces = F.array_sort(F.collect_list(F.struct("k", "id", F.coalesce("piece", F.lit("")).alias("piece")))).alias("x")
+    rows = named.groupBy("word").agg(F.first("at").alias("at"), pieces)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
+    return rows.select("word", "at", joined("x.id").alias("ids"), joined("x.piece").alias("decoded"))
 
 
 def _joined(texts: pa.Table, words: pa.Table) -> pa.Table:
@@ -159,14 +171,18 @@ def _joined(texts: pa.Table, words: pa.Table) -> pa.Table:
     size = int(place.max()) + 1 if len(place) else 0
     n, ids, decoded = np.zeros(size, np.int64), [""] * size, [""] * size
     for at, some, piece in zip(place.tolist(), words.column("ids").to_pylist(), words.column("decoded").to_pylist(), strict=True):
-        n[at], ids[at], decoded[at] = len(some), " ".join(map(str, some)), piece
+        n[at], ids[at], decoded[at] = some.count(" ") + 1, some, piece
     spread = zstandard.ZstdDecompressor()
-    out = []
-    for blob in texts.column("places").to_pylist():
-        ranks = _unpacked(blob, spread)
-        some = ranks[n[ranks] > 0].tolist() if size else []
-        out.append((int(n[ranks].sum()) if size else 0, _sha(" ".join([ids[r] for r in some])), _sha(" ".join([decoded[r] for r in some]))))
-    columns = [texts.column("id"), *[pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]]
+    names, out = [], []
+    for some_ids, lengths, blob in zip(texts.column("ids").to_pylist(), texts.column("lengths").to_pylist(), texts.column("places").to_pylist(), strict=True):
+        names += some_ids
+        for ranks in np.split(_unpacked(blob, spread), np.cumsum(lengths)[:-1]):
+            ranks = ranks[ranks < size]
+            ranks = ranks[n[ranks] > 0]
+            some = ranks.tolist()
+            out.append((int(n[ranks].sum()), _sha(" ".join([ids[r] for r in some])), _sha(" ".join([decoded[r] for r in some]))))
+    columns = [pa.array(names, texts.schema.field("ids").type.value_type)]
+    columns += [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
     return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -174,23 +190,25 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def encoded_words(docs: DataFrame, path: str, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Stored texts as (of, id, places), and the words of every block as (block, place, ids, decoded)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = StructType([*StructType.fromDDL("block bigint").fields, rows.schema[0], *StructType.fromDDL("places binary, place int, word string").fields])
-    from pyspark.sql.pandas.types import to_arrow_type
+def round_trip(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, stored: bool = False
+) -> DataFrame:
+    """Per document: doc_id, n_tokens, and the digests of its ids and of its decoded text.
 
-    id_type = to_arrow_type(rows.schema[0].dataType)
-    blocks = cut(rows.mapInArrow(lambda batches: _blocks(batches, id_type, block_chars), kind), "blocks")
-    texts = blocks.where("place IS NULL").select(F.col("block").alias("of"), "id", "places")
-    words = blocks.where("place IS NOT NULL").select("block", "place", "word")
-    known = decode_words(encode_words(words.select("word").distinct(), path), vocabulary(docs.sparkSession, path))
-    return texts, words.join(known, "word").select("block", "place", "ids", "decoded")
-
-
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per document: doc_id, n_tokens, and the digests of its ids and of its decoded text."""
-    texts, words = encoded_words(docs, path, id_col, text_col, block_chars)
+    Texts are read twice, for their words and for their places, and must come in the same order both times.
+    ``stored`` says that ``docs`` is a plain scan of a stored table, where they do; any other input is stored first.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows if stored else cut(rows, "texts")
+    id_type = to_arrow_type(rows.schema["id"].dataType)
+    text_kind = StructType([*StructType.fromDDL("of bigint"), StructField("ids", ArrayType(rows.schema["id"].dataType)), *StructType.fromDDL("lengths array<int>, places binary")])
+    texts = rows.mapInArrow(lambda batches: _blocks(batches, id_type, block_chars, True), text_kind)
+    words = rows.mapInArrow(lambda batches: _blocks(batches, id_type, block_chars, False), "at bigint, word string")
+    # A word has one row a block, so what a word gathers is one number for each block.
+    known = words.groupBy("word").agg(F.collect_list("at").alias("at"))
+    decoded = decode_words(encode_words(known, path), vocabulary(docs.sparkSession, path))
+    placed = decoded.select(F.explode("at").alias("at"), "ids", "decoded")
+    placed = placed.select(F.shiftright("at", 32).alias("block"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("place"), "ids", "decoded")
     found = StructType.fromDDL("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    kind = StructType([StructField("doc_id", texts.schema["id"].dataType), *found])
-    return texts.groupBy("of").cogroup(words.groupBy("block")).applyInArrow(_joined, kind)
+    kind = StructType([StructField("doc_id", rows.schema["id"].dataType), *found])
+    return texts.groupBy("of").cogroup(placed.groupBy("block")).applyInArrow(_joined, kind)

@@ -68,7 +68,7 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded texts of all documents, as digests."""
-    return bpe.round_trip(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return bpe.round_trip(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), stored=True)
 
 
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
