@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from wayfold.llm import exact, neardup
 from wayfold.llm.words import hashed_words, runs
@@ -102,9 +103,12 @@ def test_overlaps_equal_plain_ones(monkeypatch):
             assert common[i, j] == sum((bags[i] & bags[j]).values())
 
 
-def test_many_blocks_and_members_without_hope(spark, monkeypatch):
-    """A large group around the threshold, with blocks of a few texts, against all pairs."""
+@pytest.mark.parametrize("hubs", [True, False])
+def test_many_blocks_and_members_without_hope(spark, monkeypatch, hubs):
+    """A large group around the threshold, with blocks of a few texts, against all pairs; also with blocks alone."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    if not hubs:
+        monkeypatch.setattr(neardup, "_hub_links", lambda left, texts: left.where("false").select(F.col("node").alias("a"), F.col("node").alias("b")))
     chance, base = random.Random(6), [f"w{k}" for k in range(150)]
     rows = []
     for k in range(120):

@@ -292,7 +292,7 @@ def overlaps(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int
     return out
 
 
-def _block_links(key, table: pa.Table) -> pa.Table:
+def _block_links(key, table):
     """Links, enough to connect, between the texts of two blocks of a bucket that are not in one class yet."""
     nodes, classes = table.column("node").to_pylist(), table.column("class").to_pylist()
     found = list(_bags_of(table.column("text")))
