@@ -2,9 +2,9 @@
 
 Texts are split into the tokenizer's own words and become lists of places in a local word
 list, one per block of about ``BLOCK_CHARS`` characters. The words of all blocks meet in one
-table of distinct words; each is encoded once. Its ids are joined to an id-to-piece table, the
-vocabulary, which has a fixed size and is broadcast, for its decoded form. Both are
-joined back to the blocks' lists, and every text is put together by position.
+table of distinct words, each is encoded once, and its ids are joined back to the blocks'
+lists. There every id is joined with its piece in the id-to-piece table, the vocabulary,
+which has a fixed size and comes with the task, and every text is put together by position.
 
 What shuffles is one row per block and distinct word, and short compressed lists of
 places; texts themselves stay where they are read. No word can become hot, as it has one
@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -130,60 +130,57 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """The id-to-piece table (id, piece), special tokens included; its size is the vocabulary's."""
+def vocabulary(path: str) -> list[str]:
+    """The id-to-piece table: each id's piece, special tokens included; its size is the vocabulary's."""
     pieces = _tokenizer(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pd.DataFrame({"id": list(pieces.values()), "piece": list(pieces)}), "id int, piece string")
+    table = [""] * (max(pieces.values(), default=-1) + 1)
+    for piece, i in pieces.items():
+        table[i] = piece
+    return table
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """Add ``ids`` to distinct words; the text comes from column ``word``."""
+    """Add ``ids``, as little-endian 32-bit numbers, to distinct words; the text comes from column ``word``."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = _tokenizer(path)
         for batch in batches:
             out = []
             for at in range(0, len(batch), 2000):
-                out += [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(batch.iloc[at : at + 2000].tolist(), add_special_tokens=False)]
+                found = tokenizer.encode_batch_fast(batch.iloc[at : at + 2000].tolist(), add_special_tokens=False)
+                out += [np.array(e.ids, "<u4").tobytes() for e in found]
             yield pd.Series(out, index=batch.index, dtype=object)
 
     # Named nondeterministic so that no filter moves a second run of it below the grouping of the words.
     return words.withColumn("ids", ids.asNondeterministic()("word"))
 
 
-def decode_words(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(word, at, ids, decoded) of (word, at, ids): every id joined with its piece, put together by position.
+def _joined(table: list[str]):
+    """The function that puts a block's texts together: number of ids, and digests of ids and decoded form.
 
-    The rows are grouped by word already, so nothing shuffles.
+    ``table`` is the id-to-piece table. Every id of every word of the block is joined with its piece there.
     """
-    single = encoded.select("word", "at", F.posexplode("ids").alias("k", "id"))
-    named = single.join(F.broadcast(vocab.select(F.col("id").alias("of"), "piece")), F.col("id") == F.col("of"), "left")
-    pieces = F.array_sort(F.collect_list(F.struct("k", "id", F.coalesce("piece", F.lit("")).alias("piece")))).alias("x")
-    rows = named.groupBy("word").agg(F.first("at").alias("at"), pieces)
-    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
-    return rows.select("word", "at", joined("x.id").alias("ids"), joined("x.piece").alias("decoded"))
-
-
-def _joined(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """Per text of one block: number of ids, and digests of its ids and its decoded form."""
-    place = words.column("place").to_numpy()
-    size = int(place.max()) + 1 if len(place) else 0
-    n, ids, decoded = np.zeros(size, np.int64), [""] * size, [""] * size
-    for at, some, piece in zip(place.tolist(), words.column("ids").to_pylist(), words.column("decoded").to_pylist(), strict=True):
-        n[at], ids[at], decoded[at] = some.count(" ") + 1, some, piece
-    spread = zstandard.ZstdDecompressor()
-    names, out = [], []
-    for some_ids, lengths, blob in zip(texts.column("ids").to_pylist(), texts.column("lengths").to_pylist(), texts.column("places").to_pylist(), strict=True):
-        names += some_ids
-        for ranks in np.split(_unpacked(blob, spread), np.cumsum(lengths)[:-1]):
-            ranks = ranks[ranks < size]
-            ranks = ranks[n[ranks] > 0]
-            some = ranks.tolist()
-            out.append((int(n[ranks].sum()), _sha(" ".join([ids[r] for r in some])), _sha(" ".join([decoded[r] for r in some]))))
-    columns = [pa.array(names, texts.schema.field("ids").type.value_type)]
-    columns += [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-    return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    def together(texts: pa.Table, words: pa.Table) -> pa.Table:
+        place = words.column("place").to_numpy()
+        size = int(place.max()) + 1 if len(place) else 0
+        n, ids, decoded = np.zeros(size, np.int64), [""] * size, [""] * size
+        for at, some in zip(place.tolist(), words.column("ids").to_pylist(), strict=True):
+            numbers = np.frombuffer(some, "<u4").tolist()
+            n[at], ids[at], decoded[at] = len(numbers), " ".join(map(str, numbers)), " ".join([table[i] for i in numbers])
+        spread = zstandard.ZstdDecompressor()
+        names, out = [], []
+        for some_ids, lengths, blob in zip(texts.column("ids").to_pylist(), texts.column("lengths").to_pylist(), texts.column("places").to_pylist(), strict=True):
+            names += some_ids
+            for ranks in np.split(_unpacked(blob, spread), np.cumsum(lengths)[:-1]):
+                some = ranks[n[ranks] > 0].tolist() if size else []
+                out.append((int(n[some].sum()) if some else 0, _sha(" ".join([ids[r] for r in some])), _sha(" ".join([decoded[r] for r in some]))))
+        columns = [pa.array(names, texts.schema.field("ids").type.value_type)]
+        columns += [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return together
 
 
 def _sha(text: str) -> str:
@@ -206,9 +203,8 @@ def round_trip(
     words = rows.mapInArrow(lambda batches: _blocks(batches, id_type, block_chars, False), "at bigint, word string")
     # A word has one row a block, so what a word gathers is one number for each block.
     known = words.groupBy("word").agg(F.collect_list("at").alias("at"))
-    decoded = decode_words(encode_words(known, path), vocabulary(docs.sparkSession, path))
-    placed = decoded.select(F.explode("at").alias("at"), "ids", "decoded")
-    placed = placed.select(F.shiftright("at", 32).alias("block"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("place"), "ids", "decoded")
+    placed = encode_words(known, path).select(F.explode("at").alias("at"), "ids")
+    placed = placed.select(F.shiftright("at", 32).alias("block"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("place"), "ids")
     found = StructType.fromDDL("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     kind = StructType([StructField("doc_id", rows.schema["id"].dataType), *found])
-    return texts.groupBy("of").cogroup(placed.groupBy("block")).applyInArrow(_joined, kind)
+    return texts.groupBy("of").cogroup(placed.groupBy("block")).applyInArrow(_joined(vocabulary(path)), kind)
