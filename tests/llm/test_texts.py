@@ -167,3 +167,16 @@ def test_a_page_without_names_is_read_by_its_ratios():
 def test_every_nesting_ends():
     for parts in itertools.product(("<p>", "</p>", "<li>", "</ul>", "<b>", "</div>", "a"), repeat=4):
         html.main_text("".join(parts))
+
+
+SENTENCES = "Some longer text, with marks; and more of it, to be read. " * 5
+
+
+@pytest.mark.parametrize("holder", ["article", "main", "div"])
+def test_boilerplate_without_a_name_inside_the_article(holder):
+    thread = "".join(f"<li>Nice one, reader {k}!</li>" for k in range(6))
+    links = "".join(f"<a href='/{k}'>Another story {k}</a> " for k in range(6))
+    box = f"<div class='box'><h3>More</h3>{links}</div>"
+    page = f"<body><{holder}><h1>The title</h1><p>{SENTENCES}<p>{SENTENCES}{box}<p>{SENTENCES}<p>Short.</p><ul class='thread'>{thread}</ul></{holder}>"
+    long = SENTENCES.strip()
+    assert html.main_text(page).split("\n\n") == ["The title", long, long, long, "Short."]

@@ -1,11 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into text blocks, each with its path of open block elements from the root.
-Per path the text length and the punctuation of its blocks are added up and divided by
-their number. Both ratios are smoothed over paths: a path borrows from others by a kernel on
-the distance between the elements that hold them, so a short heading among long paragraphs counts
-like those. The product of the two smoothed ratios is compared with the page's best; paths
-below ``LEAST`` of it are left out. What carries the name of a menu, header, footer,
+A path is its elements with their classes. Per path the text length and the punctuation of its blocks
+are added up and divided by their number. Both ratios are smoothed between neighbouring paths: a path borrows from
+others by a weight for every element on the way between them, little across containers and classed lists, so a short
+heading among long paragraphs counts like those and a box beside them does not. The product of the two smoothed ratios
+is compared with the page's best; paths below ``LEAST`` of it are left out, and so are paths, or
+small elements, that are mostly links. What carries the name of a menu, header, footer,
 sidebar, notice, advert, form, script, style or comment section, by tag, class, id or
 role, never enters the ratios.
 
@@ -29,9 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LEAST = 0.2
-#: Weight of a path in the smoothing, by the distance of the elements that hold the two.
-KERNEL = 0.01
-INSIDE = 0.5
+#: Weights of one step between neighbouring paths in the smoothing: into text elements, generic containers, classed lists.
+STEP, BOX, LIST = 0.95, 0.05, 0.005
+#: Weight of a step into what stands between blocks of the page's main path.
+BETWEEN = 0.5
+#: Factor on paths outside the article of a page that has one.
+PRIOR = 0.1
+#: Share of link text from which a path, or an element around it with less than half of the page's text, is left out.
+LINKED = 0.6
+#: Added to marks per block, so that text without marks is compared by length.
+FEW_MARKS = 0.1
 
 # HTML's element kinds.
 _RAW = "script|style|noscript|iframe|template|textarea|select|svg|canvas|object|math|title"
@@ -59,44 +67,79 @@ _TOKEN = re.compile(
 )
 _PUNCTUATION = re.compile(r"[^\w\s]")
 _STORY = ("article", "main")
+_TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that page templates are made of, against those that texts are made of.
+_BOXES = frozenset("div section center body html fieldset details dialog".split())
 
 
-def _outside(name: str, attributes: str, path: tuple[str, ...]) -> bool:
-    if name in OUTSIDE or name == "header" and not any(x in _STORY for x in path):
+def _classes(attributes: str) -> str:
+    """The class, id and role of an element without numbers, as a part of its path."""
+    return " ".join(re.sub(r"\d+", "", "".join(m.groups(""))).strip().lower() for m in _ATTRIBUTE.finditer(attributes)).strip()
+
+
+def _outside(name: str, attributes: str, story: bool) -> bool:
+    if name in OUTSIDE or name == "header" and not story:
         return True
     if "=" not in attributes or name in ("html", "body", "article", "main"):
         return False
     return any(_NAMES.search("".join(m.groups("")).lower().replace("_", "-")) for m in _ATTRIBUTE.finditer(attributes))
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """(path, text) of every text block that is not outside the main text, in page order."""
-    found: list[tuple[tuple[str, ...], str]] = []
+class _Path:
+    """A root-to-leaf path of the page: its sums, and the first and last block below it."""
+
+    __slots__ = ("chars", "first", "holds", "kids", "last", "links", "marks", "n", "name", "parent", "story", "weight")
+
+    def __init__(self, parent: _Path | None, name: str, classed: bool):
+        self.parent, self.name, self.kids = parent, name, {}
+        self.story = parent is not None and parent.story or name in _STORY
+        self.weight = LIST if classed and name in ("ul", "ol", "menu") else BOX if name in _BOXES or classed and name == "li" else STEP
+        self.chars = self.links = self.marks = self.n = 0
+        self.first, self.last, self.holds = -1, -1, False
+
+
+def _linked(text: str) -> int:
+    return len(" ".join(html.unescape(text).split()))
+
+
+def blocks(page: str) -> tuple[list[_Path], list[tuple[_Path, str]]]:
+    """All paths, parents first, and (path, text) of every text block that is not outside the main text, in page order."""
+    found: list[tuple[_Path, str]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they lie outside
-    path: tuple[str, ...] = ()
+    path = _Path(None, "", False)
+    paths = [path]
     words: list[str] = []
-    hidden = 0
+    hidden = anchors = links = 0
 
     def flush():
+        nonlocal links
         if words:
             text = " ".join(html.unescape("".join(words)).split())
             if text:
+                path.chars += len(text)
+                path.links += min(links, len(text))
+                path.marks += len(_PUNCTUATION.findall(text))
+                path.n += 1
                 found.append((path, text))
             words.clear()
+        links = 0
 
     def close(depth: int):
-        nonlocal path, hidden
+        nonlocal path, hidden, anchors
         while len(stack) > depth:
             name, out = stack.pop()
             hidden -= out
+            anchors -= name == "a"
             if name in BLOCKS:
                 flush()
-                path = path[:-1]
+                path = path.parent
 
     at = 0
     for m in _TOKEN.finditer(page):
         if not hidden and m.start() > at:
             words.append(page[at : m.start()])
+            if anchors:
+                links += _linked(words[-1])
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
@@ -131,60 +174,84 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
                         break
                     if stack[depth][0] in _KEEPS[name]:
                         break
-        out = _outside(name, attributes, path)
+        out = _outside(name, attributes, path.story)
         if out and not hidden:
             flush()
         stack.append((name, out))
         hidden += out
+        anchors += name == "a"
         if name in BLOCKS:
-            path = (*path, name)
+            classed = _classes(attributes) if "=" in attributes else ""
+            label = (name, classed)
+            if label not in path.kids:
+                path.kids[label] = _Path(path, name, bool(classed))
+                paths.append(path.kids[label])
+            path = path.kids[label]
     if not hidden:
         words.append(page[at:])
     flush()
-    return found
-
-
-def _holder(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The element whose paths belong together: the article, else the parent."""
-    for k, name in enumerate(path):
-        if name in _STORY:
-            return path[: k + 1]
-    return path[:-1]
-
-
-def path_scores(found: list[tuple[tuple[str, ...], str]]) -> dict[tuple[str, ...], float]:
-    """The fused smoothed ratio of every path."""
-    chars, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text in found:
-        chars[path] += len(text)
-        marks[path] += len(_PUNCTUATION.findall(text))
-        number[path] += 1
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path in chars:  # paths of one holder have distance 0
-        total = sums.setdefault(_holder(path), [0.0, 0.0, 0.0])
-        total[0] += chars[path]
-        total[1] += marks[path]
-        total[2] += number[path]
-    smooth = {}
-    for one in sums:
-        weighted = [0.0, 0.0, 0.0]
-        for other, total in sums.items():
-            shared = 0
-            for a, b in zip(one, other, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            inside = shared == len(other)  # what lies inside a content element borrows more from it
-            weight = (INSIDE if inside else KERNEL) ** min(len(one) + len(other) - 2 * shared, 8)
-            weighted = [w + weight * t for w, t in zip(weighted, total, strict=True)]
-        smooth[one] = math.log1p(weighted[0] / weighted[2]) * math.log1p(weighted[1] / weighted[2]) * weighted[0]
-    return {path: smooth[_holder(path)] for path in chars}
+    return paths, found
+
+
+def _spans(paths: list[_Path], found: list[tuple[_Path, str]]) -> dict[_Path, list[int]]:
+    """Characters and link characters at or below every path; sets its first and last block."""
+    for at, (path, _) in enumerate(found):
+        path.first, path.last = at if path.first < 0 else path.first, at
+    below = {path: [path.chars, path.links] for path in paths}
+    for path in reversed(paths[1:]):
+        up = path.parent
+        below[up] = [a + b for a, b in zip(below[up], below[path], strict=True)]
+        if path.first >= 0:
+            up.first = path.first if up.first < 0 else min(up.first, path.first)
+            up.last = max(up.last, path.last)
+    return below
+
+
+def path_scores(paths: list[_Path], found: list[tuple[_Path, str]]) -> dict[_Path, float]:
+    """The product of the two smoothed ratios of every path with text; 0 where links speak against it."""
+    own_last = {path: at for at, (path, _) in enumerate(found)}
+    own_first = {path: at for at, (path, _) in reversed(list(enumerate(found)))}
+    below = _spans(paths, found)
+    whole = below[paths[0]][0]
+    story = any(path.story for path, _ in found)
+    against = {}
+    for path in paths:  # a path of links, and what lies in a small element that is mostly links
+        chars, links = below[path]
+        against[path] = path.parent is not None and (
+            against[path.parent] or links >= LINKED * max(chars, 1) and 2 * chars < whole and path.name not in _TITLES
+        )
+    ratio = lambda chars, marks, prior: chars * (marks + FEW_MARKS) * prior
+    prior = {path: PRIOR if story and not path.story else 1.0 for path in own_last}
+    main = max(own_last, key=lambda p: (p.chars - p.links) * ratio(p.chars / p.n, p.marks / p.n, prior[p]), default=None)
+    holders, path = set(), main
+    while path is not None:
+        holders.add(path)
+        path = path.parent
+    sums = {}
+    for path in paths:
+        mass = math.sqrt(path.chars) if path.n and not against[path] else 0.0
+        sums[path] = [mass, mass * path.chars / path.n, mass * path.marks / path.n] if mass else [0.0, 0.0, 0.0]
+    step = {}
+    for path in paths[1:]:
+        weight = path.weight
+        if against[path]:
+            weight = 0.0
+        step[path] = weight
+    for path in reversed(paths[1:]):  # the sums below a path, then those of the whole page as seen from it
+        sums[path.parent] = [a + step[path] * b for a, b in zip(sums[path.parent], sums[path], strict=True)]
+    for path in paths[1:]:
+        w = step[path]
+        sums[path] = [b + w * (a - w * b) for a, b in zip(sums[path.parent], sums[path], strict=True)]
+    return {
+        path: 0.0 if against[path] or not sums[path][0] else ratio(sums[path][1] / sums[path][0], sums[path][2] / sums[path][0], prior[path])
+        for path in own_last
+    }
 
 
 def main_text(page: str) -> str:
     """The blocks on paths that reach the threshold, by two line breaks."""
-    found = blocks(page)
-    scores = path_scores(found)
+    paths, found = blocks(page)
+    scores = path_scores(paths, found)
     best = max(scores.values(), default=0.0)
     return "\n\n".join(text for path, text in found if scores[path] >= LEAST * best)
 
