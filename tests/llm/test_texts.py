@@ -180,3 +180,28 @@ def test_boilerplate_without_a_name_inside_the_article(holder):
     page = f"<body><{holder}><h1>The title</h1><p>{SENTENCES}<p>{SENTENCES}{box}<p>{SENTENCES}<p>Short.</p><ul class='thread'>{thread}</ul></{holder}>"
     long = SENTENCES.strip()
     assert html.main_text(page).split("\n\n") == ["The title", long, long, long, "Short."]
+
+
+@pytest.mark.parametrize("cells", [12, 400])
+@pytest.mark.parametrize(
+    "start,cell,end",
+    [
+        ("<table><tr>", "<td>cell {}", "</table>"),
+        ("<div class='wide'><table class='data'><tbody><tr>", "<td>cell {}", "</table></div>"),
+        ("<ul><li>One<ul>", "<li>item {}", "</ul></ul>"),
+        ("<ol><li>One<ul><li>Two<ol>", "<li>item {}", "</ol></ul></ol>"),
+        ("<dl>", "<dt>term {0}<dd>what it is {0}", "</dl>"),
+    ],
+)
+def test_short_parts_of_the_main_text_stay(start, cell, end, cells):
+    inner = start + "".join(cell.format(k) for k in range(cells)) + end
+    want = [" ".join(x.split()) for x in re.split(r"<[^>]*>", inner) if x.strip()]
+    long = SENTENCES.strip()
+    page = f"<html><body><div><a href='/'>Home</a> <a href='/b'>Second</a></div><div>{f'<p>{long}' * 10}</p>{inner}</div><div>Some firm</div>"
+    assert html.main_text(page).split("\n\n") == [long] * 10 + want
+
+
+def test_an_introduction_between_title_and_text_stays():
+    long = SENTENCES.strip()
+    page = f"<div>Home</div><div><div class='top'><h1>The title</h1></div><div class='lead'>What it is about.</div><p>{long}<p>{long}</div>"
+    assert html.main_text(page).split("\n\n") == ["The title", "What it is about.", long, long]

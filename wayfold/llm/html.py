@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 
 LEAST = 0.2
 #: Weights of one step between neighbouring paths in the smoothing: into text elements, generic containers, classed lists.
-STEP, BOX, LIST = 0.95, 0.05, 0.005
+STEP, BOX, LIST = 0.95, 0.02, 0.005
 #: Weight of a step into what stands between blocks of the page's main path.
 BETWEEN = 0.5
 #: Factor on paths outside the article of a page that has one.
@@ -67,6 +67,8 @@ _TOKEN = re.compile(
 )
 _PUNCTUATION = re.compile(r"[^\w\s]")
 _STORY = ("article", "main")
+#: Elements that make a container around them a part of the text: it only wraps them.
+_HELD = frozenset("h1 table dl pre figure blockquote".split())
 _TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that page templates are made of, against those that texts are made of.
 _BOXES = frozenset("div section center body html fieldset details dialog".split())
@@ -116,11 +118,18 @@ def blocks(page: str) -> tuple[list[_Path], list[tuple[_Path, str]]]:
         if words:
             text = " ".join(html.unescape("".join(words)).split())
             if text:
-                path.chars += len(text)
-                path.links += min(links, len(text))
-                path.marks += len(_PUNCTUATION.findall(text))
-                path.n += 1
-                found.append((path, text))
+                leaf = path
+                if path.name in _BOXES:  # text of a container itself has a path beside those of its elements
+                    leaf = path.kids.get("")
+                    if leaf is None:
+                        leaf = path.kids[""] = _Path(path, "", False)
+                        leaf.weight = BOX
+                        paths.append(leaf)
+                leaf.chars += len(text)
+                leaf.links += min(links, len(text))
+                leaf.marks += len(_PUNCTUATION.findall(text))
+                leaf.n += 1
+                found.append((leaf, text))
             words.clear()
         links = 0
 
@@ -183,6 +192,7 @@ def blocks(page: str) -> tuple[list[_Path], list[tuple[_Path, str]]]:
         if name in BLOCKS:
             classed = _classes(attributes) if "=" in attributes else ""
             label = (name, classed)
+            path.holds = path.holds or name in _HELD
             if label not in path.kids:
                 path.kids[label] = _Path(path, name, bool(classed))
                 paths.append(path.kids[label])
@@ -227,6 +237,10 @@ def path_scores(paths: list[_Path], found: list[tuple[_Path, str]]) -> dict[_Pat
     while path is not None:
         holders.add(path)
         path = path.parent
+    start = own_first[main] if main is not None else 0  # a title in an element around the main path starts its text
+    for path in own_last:
+        if path.name == "h1" and path.parent.name not in ("", "html", "body") and holders & {path.parent, path.parent.parent}:
+            start = min(start, path.first)
     sums = {}
     for path in paths:
         mass = math.sqrt(path.chars) if path.n and not against[path] else 0.0
@@ -236,6 +250,10 @@ def path_scores(paths: list[_Path], found: list[tuple[_Path, str]]) -> dict[_Pat
         weight = path.weight
         if against[path]:
             weight = 0.0
+        elif path.holds:  # a wrapper of a title, a table or the like
+            weight = STEP
+        elif main is not None and path not in holders and start < path.first and path.last < own_last[main]:
+            weight = max(weight, BETWEEN)
         step[path] = weight
     for path in reversed(paths[1:]):  # the sums below a path, then those of the whole page as seen from it
         sums[path.parent] = [a + step[path] * b for a, b in zip(sums[path.parent], sums[path], strict=True)]
