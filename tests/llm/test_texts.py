@@ -205,3 +205,13 @@ def test_an_introduction_between_title_and_text_stays():
     long = SENTENCES.strip()
     page = f"<div>Home</div><div><div class='top'><h1>The title</h1></div><div class='lead'>What it is about.</div><p>{long}<p>{long}</div>"
     assert html.main_text(page).split("\n\n") == ["The title", "What it is about.", long, long]
+
+
+@pytest.mark.parametrize("own", ["content has-sidebar", "post no-comments", "entry with-header", "article-header", "widget", "postHeader"])
+@pytest.mark.parametrize("story", ["article", "div"])
+def test_a_name_in_passing_hides_no_text(own, story):
+    long = SENTENCES.strip()
+    page = f"<body><div class='main-menu'>Home, start</div><div class='{own}'><{story}><h1>The title</h1><p>{long}<p>{long}</{story}></div><div id='cookie_banner'>We use cookies, yes.</div>"
+    assert html.main_text(page).split("\n\n") == ["The title", long, long]
+    inner = f"<{story}><div id='share-price'><p>{long}</div><div class='article-header'><h1>The title</h1></div><div class='social-policy'><p>{long}</div><div class='related-posts'><p>Read this, too.</div></{story}>"
+    assert html.main_text(inner).split("\n\n") == [long, "The title", long]

@@ -6,9 +6,9 @@ are added up and divided by their number. Both ratios are smoothed between neigh
 others by a weight for every element on the way between them, little across containers and classed lists, so a short
 heading among long paragraphs counts like those and a box beside them does not. The product of the two smoothed ratios
 is compared with the page's best; paths below ``LEAST`` of it are left out, and so are paths, or
-small elements, that are mostly links. What carries the name of a menu, header, footer,
-sidebar, notice, advert, form, script, style or comment section, by tag, class, id or
-role, never enters the ratios.
+small elements, that are mostly links. What stands in a menu, header,
+footer, sidebar, form, script or style element never enters the ratios; what has the name of such a thing as
+a class, id or role, whole or by its head word, starts with a low factor, which a high ratio overrules.
 
 Null and empty pages, and pages without text, give the empty text. Broken markup is read as
 far as it goes: missing end tags are implied, a comment or script without an end runs to
@@ -36,6 +36,8 @@ STEP, BOX, LIST = 0.95, 0.02, 0.005
 BETWEEN = 0.5
 #: Factor on paths outside the article of a page that has one.
 PRIOR = 0.1
+#: Factor on paths in an element with the name of a menu, advert or the like: only a much higher ratio overrules it.
+NAMED = 0.05
 #: Share of link text from which a path, or an element around it with less than half of the page's text, is left out.
 LINKED = 0.6
 #: Added to marks per block, so that text without marks is compared by length.
@@ -55,10 +57,20 @@ _KEEPS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {
 #: Elements that never hold main text, and names that say the same; a header inside an article is its own.
 OUTSIDE = frozenset("head nav footer aside form menu dialog button".split())
 _NAMES = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|"
     r"footer|header|masthead|comments?|replies|respond|disqus|cookies?|consent|notice|gdpr|popup|modal|newsletter|"
-    r"subscribe|signup|login|search|share|sharing|social|related|recommend\w*|widget|pagination|pager|skip)(?![a-z])"
+    r"subscribe|signup|login|search|share|sharing|social|related|recommend\w*|widget|pagination|pager|skip"
 )
+#: Words after a name that say how an element looks or is arranged; the word before them is its head.
+_TRAILING = frozenset(
+    "area bar block box bottom btn button buttons center container content form group holder icon icons inner item items "
+    "large left link links list main menu outer panel posts primary right row secondary section slot small stories "
+    "text thread title top unit wide widget wrap wrapper".split()
+)
+#: Words before a header that make it one of the text, and words that say what a page has or lacks.
+_OWN = frozenset("article entry post story content page section".split())
+_MODIFIERS = frozenset("has no with without hide is not".split())
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[^A-Za-z]+")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)|"
@@ -79,22 +91,35 @@ def _classes(attributes: str) -> str:
     return " ".join(re.sub(r"\d+", "", "".join(m.groups(""))).strip().lower() for m in _ATTRIBUTE.finditer(attributes)).strip()
 
 
-def _outside(name: str, attributes: str, story: bool) -> bool:
-    if name in OUTSIDE or name == "header" and not story:
-        return True
-    if "=" not in attributes or name in ("html", "body", "article", "main"):
+def _tokens(attributes: str) -> list[str]:
+    return " ".join("".join(m.groups("")) for m in _ATTRIBUTE.finditer(attributes)).split()
+
+
+def _named(token: str, story: bool) -> bool:
+    """Whether a class, id or role is, as a whole or by its head word, the name of something beside the text."""
+    words = [w.lower() for w in _HUMP.split(token) if w]
+    if not words or words[0] in _MODIFIERS:
         return False
-    return any(_NAMES.search("".join(m.groups("")).lower().replace("_", "-")) for m in _ATTRIBUTE.finditer(attributes))
+    while len(words) > 1 and words[-1] in _TRAILING:
+        words.pop()
+    if words[-1] == "header" and (story or _OWN & set(words[:-1])):
+        return False
+    return _NAMES.fullmatch(words[-1]) is not None
+
+
+def _outside(name: str, story: bool) -> bool:
+    return name in OUTSIDE or name == "header" and not story
 
 
 class _Path:
     """A root-to-leaf path of the page: its sums, and the first and last block below it."""
 
-    __slots__ = ("chars", "first", "holds", "kids", "last", "links", "marks", "n", "name", "parent", "story", "weight")
+    __slots__ = ("chars", "first", "holds", "kids", "last", "links", "marks", "n", "name", "named", "parent", "story", "weight")
 
-    def __init__(self, parent: _Path | None, name: str, classed: bool):
+    def __init__(self, parent: _Path | None, name: str, classed: bool, named: bool):
         self.parent, self.name, self.kids = parent, name, {}
         self.story = parent is not None and parent.story or name in _STORY
+        self.named = name not in _STORY and (named or parent is not None and parent.named)
         self.weight = LIST if classed and name in ("ul", "ol", "menu") else BOX if name in _BOXES or classed and name == "li" else STEP
         self.chars = self.links = self.marks = self.n = 0
         self.first, self.last, self.holds = -1, -1, False
@@ -108,7 +133,7 @@ def blocks(page: str) -> tuple[list[_Path], list[tuple[_Path, str]]]:
     """All paths, parents first, and (path, text) of every text block that is not outside the main text, in page order."""
     found: list[tuple[_Path, str]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they lie outside
-    path = _Path(None, "", False)
+    path = _Path(None, "", False, False)
     paths = [path]
     words: list[str] = []
     hidden = anchors = links = 0
@@ -122,7 +147,7 @@ def blocks(page: str) -> tuple[list[_Path], list[tuple[_Path, str]]]:
                 if path.name in _BOXES:  # text of a container itself has a path beside those of its elements
                     leaf = path.kids.get("")
                     if leaf is None:
-                        leaf = path.kids[""] = _Path(path, "", False)
+                        leaf = path.kids[""] = _Path(path, "", False, False)
                         leaf.weight = BOX
                         paths.append(leaf)
                 leaf.chars += len(text)
@@ -183,7 +208,7 @@ def blocks(page: str) -> tuple[list[_Path], list[tuple[_Path, str]]]:
                         break
                     if stack[depth][0] in _KEEPS[name]:
                         break
-        out = _outside(name, attributes, path.story)
+        out = _outside(name, path.story)
         if out and not hidden:
             flush()
         stack.append((name, out))
@@ -191,10 +216,11 @@ def blocks(page: str) -> tuple[list[_Path], list[tuple[_Path, str]]]:
         anchors += name == "a"
         if name in BLOCKS:
             classed = _classes(attributes) if "=" in attributes else ""
+            named = classed and name not in ("html", "body", *_STORY) and any(_named(t, path.story) for t in _tokens(attributes))
             label = (name, classed)
             path.holds = path.holds or name in _HELD
             if label not in path.kids:
-                path.kids[label] = _Path(path, name, bool(classed))
+                path.kids[label] = _Path(path, name, bool(classed), bool(named))
                 paths.append(path.kids[label])
             path = path.kids[label]
     if not hidden:
@@ -231,7 +257,7 @@ def path_scores(paths: list[_Path], found: list[tuple[_Path, str]]) -> dict[_Pat
             against[path.parent] or links >= LINKED * max(chars, 1) and 2 * chars < whole and path.name not in _TITLES
         )
     ratio = lambda chars, marks, prior: chars * (marks + FEW_MARKS) * prior
-    prior = {path: PRIOR if story and not path.story else 1.0 for path in own_last}
+    prior = {path: (PRIOR if story and not path.story else 1.0) * (NAMED if path.named else 1.0) for path in own_last}
     main = max(own_last, key=lambda p: (p.chars - p.links) * ratio(p.chars / p.n, p.marks / p.n, prior[p]), default=None)
     holders, path = set(), main
     while path is not None:
@@ -248,11 +274,11 @@ def path_scores(paths: list[_Path], found: list[tuple[_Path, str]]) -> dict[_Pat
     step = {}
     for path in paths[1:]:
         weight = path.weight
-        if against[path]:
+        if against[path] or path.named and not path.parent.named:
             weight = 0.0
-        elif path.holds:  # a wrapper of a title, a table or the like
+        elif path.holds or path in holders:  # a wrapper of a title, a table or the like, or of the main path
             weight = STEP
-        elif main is not None and path not in holders and start < path.first and path.last < own_last[main]:
+        elif main is not None and start < path.first and path.last < own_last[main]:
             weight = max(weight, BETWEEN)
         step[path] = weight
     for path in reversed(paths[1:]):  # the sums below a path, then those of the whole page as seen from it
@@ -269,6 +295,8 @@ def path_scores(paths: list[_Path], found: list[tuple[_Path, str]]) -> dict[_Pat
 def main_text(page: str) -> str:
     """The blocks on paths that reach the threshold, by two line breaks."""
     paths, found = blocks(page)
+    if any(path.story for path, _ in found):  # beside an article a name decides
+        found = [(path, text) for path, text in found if path.story or not path.named]
     scores = path_scores(paths, found)
     best = max(scores.values(), default=0.0)
     return "\n\n".join(text for path, text in found if scores[path] >= LEAST * best)
