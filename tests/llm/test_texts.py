@@ -215,3 +215,15 @@ def test_a_name_in_passing_hides_no_text(own, story):
     assert html.main_text(page).split("\n\n") == ["The title", long, long]
     inner = f"<{story}><div id='share-price'><p>{long}</div><div class='article-header'><h1>The title</h1></div><div class='social-policy'><p>{long}</div><div class='related-posts'><p>Read this, too.</div></{story}>"
     assert html.main_text(inner).split("\n\n") == [long, "The title", long]
+
+
+@pytest.mark.parametrize("others", [0, 40, 400])
+def test_a_copied_secret_is_no_dictionary_word(spark, others):
+    rows = [(k, "pwd: zqxjkvbpwmnt and pwd: zqxjkvbpwmnt again") for k in range(30)]
+    rows += [(100 + k, f"house garden number {k} pwd: zqxjkvbpwmnt") for k in range(30)]
+    rows += [(1000 + k, f"house garden text number {k}") for k in range(others)] + [(5000, "quux quux quux quux"), (5001, None)] + [(6000 + k, "bazbaz") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = secrets.dictionary(docs)
+    assert {"house", "garden", "number"} <= set(ranks) and not {"zqxjkvbpwmnt", "quux", "bazbaz"} & set(ranks)
+    found = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert all("context" in found[k] for k in [*range(30), *range(100, 130)])

@@ -5,8 +5,10 @@ a credential context, such as ``pwd: ...``, ``passphrase is ...`` or ``Bearer ..
 measured: dynamic programming finds the cheapest way to put the value together from
 dictionary words (by rank, with substitutions and capitals), dates, repeated blocks, keyboard
 walks and brute-force spans, in log2 of guesses; a value of ``LEAST_BITS`` or more is a secret.
-The dictionary is the ``RANKS`` most frequent words of all documents, counted by Spark, after a
-short list of common passwords; its size is a parameter of the model, so it is bounded.
+The dictionary is, after a short list of common passwords, the at most ``RANKS`` words that most distinct
+texts hold, and at least ``LEAST_SHARE`` of them; copies count once, and neither plain patterns nor
+the values of credential contexts are counted, so a secret cannot become a word by being copied.
+Its size is a parameter of the model, so it is bounded.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows
 are searched each by itself, null ids come back as they are, and extra columns are not read
@@ -25,7 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wayfold.llm.exact import maybe_repeated, repeated_cells
+
 RANKS = 20_000
+#: A word of the dictionary is in this share of the distinct texts, whatever their number, and in this many.
+LEAST_SHARE = 0.001
+LEAST_TEXTS = 3
 LEAST_BITS = 40.0
 LEAST_LENGTH = 6
 #: Longest value whose every segmentation is weighed; a longer one is cut into pieces of this length, whose costs add up.
@@ -111,21 +118,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def context_spans(text: str, ranks: dict[str, int]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of values in credential contexts that are dear to guess."""
+def _values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of all values in credential contexts."""
     low = text.lower()
     if not any(word in low for word in _CONTEXT_WORDS):
         return []
     found = []
     for m in CONTEXT.finditer(text):
         start, end = m.span(1) if m[1] is not None else m.span(2)
-        value = text[start:end].rstrip(".!?:)]}*#%&$")
-        end = start + len(value)
-        if len(value) >= LEAST_LENGTH and guess_bits(value, ranks) >= LEAST_BITS:
-            found.append((start, end, "context"))
+        end = start + len(text[start:end].rstrip(".!?:)]}*#%&$"))
+        if end - start >= LEAST_LENGTH:
+            found.append((start, end))
     return found
 
 
+def context_spans(text: str, ranks: dict[str, int]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of values in credential contexts that are dear to guess."""
+    return [(a, b, "context") for a, b in _values(text) if guess_bits(text[a:b], ranks) >= LEAST_BITS]
+
+
 def secret_spans(text: str, ranks: dict[str, int]) -> list[tuple[int, int, str]]:
     """All spans by start, then kind; a context span is left out where a base span covers it."""
     base = base_spans(text)
@@ -133,11 +144,22 @@ def secret_spans(text: str, ranks: dict[str, int]) -> list[tuple[int, int, str]]
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+def _plain_words(text: str) -> set[str]:
+    """The words of a text outside its plain patterns and the values of its credential contexts."""
+    at, parts = 0, []
+    for start, end in sorted([*((a, b) for a, b, _ in base_spans(text)), *_values(text)]):
+        parts.append(text[at : max(start, at)])
+        at = max(at, end)
+    return set(re.findall(r"[^\W\d_]{3,24}", " ".join([*parts, text[at:]]).lower()))
+
+
 def _count_words(batches):
+    """In how many of the texts every word is; the empty word is in each."""
     counts = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update(w for w in re.findall(r"[^\W\d_]{3,24}", (text or "").lower()))
+            counts.update(_plain_words(text))
+            counts[""] += 1
             if len(counts) > 200_000:
                 yield _counted(counts)
                 counts = Counter()
@@ -149,12 +171,21 @@ def _counted(counts):
     return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
+def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every text once; only texts whose digest may be repeated are shuffled."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.sha2(F.col(text_col), 256).alias("digest"))
+    flagged = maybe_repeated(rows, "digest", repeated_cells(rows.select("digest"), "digest"), "maybe")
+    again = flagged.where("maybe").groupBy("digest").agg(F.first("text").alias("text"))
+    return flagged.where(~F.col("maybe")).select("text").unionByName(again.select("text"))
+
+
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = RANKS) -> dict[str, int]:
-    """Ranks from 1: common passwords, then the ``size`` most frequent words of all documents."""
-    words = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_words, "word string, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
+    """Ranks from 1: common passwords, then at most ``size`` words by the number of distinct texts that hold them."""
+    words = distinct_texts(docs, text_col).mapInArrow(_count_words, "word string, n long")
+    top = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "word").limit(size + 1).collect()
+    every = max((r["n"] for r in top if not r["word"]), default=0)
     ranks: dict[str, int] = {}
-    for word in (*COMMON, *(r["word"] for r in top)):
+    for word in (*COMMON, *(r["word"] for r in top if r["word"] and r["n"] >= LEAST_SHARE * every)):
         ranks.setdefault(word, len(ranks) + 1)
     return ranks
 
