@@ -227,3 +227,23 @@ def test_a_copied_secret_is_no_dictionary_word(spark, others):
     assert {"house", "garden", "number"} <= set(ranks) and not {"zqxjkvbpwmnt", "quux", "bazbaz"} & set(ranks)
     found = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(docs)).collect()}
     assert all("context" in found[k] for k in [*range(30), *range(100, 130)])
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["DB_PWD=", "MYSQL_PWD=", "DB_PASS=", "userPwd=", "DJANGO_SECRET_KEY=", "aws_secret_access_key = ", "spring.datasource.pass: ", "dbPassPhrase: ", "clientSecretKey: ", "config['DB_PWD'] = ", "x-auth-token: ", "Authorization: Bearer ", "pins: "],
+)
+def test_credential_names_within_identifiers(name):
+    for value in ("Xk9#vQ2!pLz8", "wq,7;Zr|p<4k>M9", "Hy7%tR4$bN!?"):
+        for quote in ('"', "'", ""):
+            text = f"a {name}{quote}{value}{quote} b"
+            spans = [(x, y) for x, y, kind in secrets.secret_spans(text, RANKS) if kind == "context"]
+            assert [text[x:y] for x, y in spans] == [value]
+            assert value not in secrets._redacted(text, RANKS) and "[SECRET]" in secrets._redacted(text, RANKS)
+
+
+def test_values_end_and_other_words_are_no_names():
+    text = "Server=x;Pwd=Xk9#vQ2!pLz8;Database=some pwd: 'my Xk9 vQ2 pLz8, t7' (pwd: Wm3^tY6*hB1), <b>pwd: Rt5!nM8@qZ2</b>"
+    assert [text[a:b] for a, b, _ in secrets.secret_spans(text, RANKS)] == ["Xk9#vQ2!pLz8", "my Xk9 vQ2 pLz8, t7", "Wm3^tY6*hB1", "Rt5!nM8@qZ2"]
+    for word in ("compass", "bypass", "author", "spinning", "passion", "PASSION", "tokenizer"):
+        assert secrets.secret_spans(f"{word}: Xk9#vQ2!pLz8", RANKS) == []

@@ -47,10 +47,19 @@ KINDS = ("assign", "access", "hex", "context")
 
 #: Credential contexts whose values are measured.
 _CONTEXT_WORDS = ("pass", "pwd", "pin", "secret", "token", "bearer", "auth", "cred", "key", "login")
+# A name is one of these words, as a part of any identifier: after a separator or a hump, before a separator, a hump or the end.
+_NAME = (
+    r"(?:(?<![A-Za-z])|(?<=[a-z0-9])(?=[A-Z]))"
+    r"(?ai:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|login|"
+    r"(?:api|access|private|client|session)[_\x20.-]?(?:key|secret|token))"
+    r"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?=s\b))[A-Za-z0-9_.-]{0,64}"
+)
+# A quoted value ends at its closing quote; a bare one at white space, a quote, a tag, or a delimiter before the next name.
+_QUOTED = r"""(?:"((?:\\.|[^"\\\n]){6,})"|'((?:\\.|[^'\\\n]){6,})'|`([^`\n]{6,})`)"""
+_BARE = r"""((?:(?![,;&|][A-Za-z_][\w.-]*[=:]|</)[^\s"'`]){6,})"""
 CONTEXT = re.compile(
-    r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|"""
-    r"""(?:api|access|private|client|secret|session)[_\x20-]?(?:key|secret|token)|login)\b)"""
-    r"""["']?\x20*(?:[:=]>?|\x20is\x20|\x20was\x20)\x20*["']?([^\s"'<>|,;]{6,})|(?ai:\bbearer\x20+)([^\s"'<>|,;]{6,})"""
+    rf"""{_NAME}["'`\]]{{0,2}}\x20*(?:[:=]>?|\x20is\x20|\x20was\x20)\x20*"""
+    rf"""(?ai:(?:bearer|basic)\x20+)?(?:{_QUOTED}|["'`]?{_BARE})|(?ai:\bbearer\x20+){_BARE}"""
 )
 
 # Common passwords, the most common first.
@@ -125,8 +134,9 @@ def _values(text: str) -> list[tuple[int, int]]:
         return []
     found = []
     for m in CONTEXT.finditer(text):
-        start, end = m.span(1) if m[1] is not None else m.span(2)
-        end = start + len(text[start:end].rstrip(".!?:)]}*#%&$"))
+        start, end = m.span(m.lastindex)
+        if m.lastindex > 3:  # bare, maybe before the end of a sentence or a bracket
+            end = start + len(text[start:end].rstrip(".,;:)]}>"))
         if end - start >= LEAST_LENGTH:
             found.append((start, end))
     return found
