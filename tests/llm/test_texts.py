@@ -247,3 +247,27 @@ def test_values_end_and_other_words_are_no_names():
     assert [text[a:b] for a, b, _ in secrets.secret_spans(text, RANKS)] == ["Xk9#vQ2!pLz8", "my Xk9 vQ2 pLz8, t7", "Wm3^tY6*hB1", "Rt5!nM8@qZ2"]
     for word in ("compass", "bypass", "author", "spinning", "passion", "PASSION", "tokenizer"):
         assert secrets.secret_spans(f"{word}: Xk9#vQ2!pLz8", RANKS) == []
+
+
+def test_published_license_files(spark):
+    heads = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n"),
+        ("MIT", "The MIT License (MIT)\n=====================\n\nCopyright © 2001 X, Y\n\n"),
+        ("MIT", "Copyright Joyent, Inc. and other Node contributors. All rights reserved.\n"),
+        ("MIT", "# MIT License\n\nCopyright Some One <one@example.com>\n\n"),
+        ("MIT-0", "MIT No Attribution\n\nCopyright 2020 X\n\n"),
+        ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n"),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n"),
+        ("BSD-3-Clause", "Copyright the Some Project Authors\n\n"),
+        ("ISC", "ISC License\n\nCopyright (c) 2020 X\n\n"),
+        ("0BSD", "Zero-Clause BSD\n=============\n\n"),
+        ("Zlib", "zlib License\n\n(C) 2020 X\n\n"),
+        ("Unlicense", "The Unlicense\n\n"),
+    ]
+    docs = [(k, want, head + KNOWN[want]) for k, (want, head) in enumerate(heads)]
+    docs.append((100, None, "My own license\n\n" + KNOWN["MIT"]))
+    docs.append((101, "ISC", KNOWN["ISC"].replace("THE SOFTWARE IS", "The\nsoftware is")))
+    frame = spark.createDataFrame([(k, text) for k, _, text in docs], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licenses.scan(frame).collect()} == {k: want for k, want, _ in docs}
+    known = licenses.known_licenses(spark).select("license_id", licenses.digest(licenses.F.col("text")).alias("h"), "text")
+    assert known.where(licenses.nameless_digest(licenses.F.col("text"), licenses.F.col("h")) != licenses.F.col("h")).count() == 0

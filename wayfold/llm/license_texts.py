@@ -123,3 +123,24 @@ misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution.""",
 }
+
+# The titles under which the texts are published, one before the text or none.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD", "0BSD License", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": (
+        "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", "Simplified BSD License",
+        "The Simplified BSD License", "FreeBSD License", "The FreeBSD License", 'BSD 2-Clause "Simplified" License', "BSD License", "The BSD License",
+    ),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", "New BSD License",
+        "The New BSD License", "Modified BSD License", "The Modified BSD License", "Revised BSD License", 'BSD 3-Clause "New" or "Revised" License',
+        "BSD License", "The BSD License",
+    ),
+    "FSFAP": ("FSF All Permissive License", "GNU All-permissive License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "MIT": ("MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "MIT", "Expat License"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT No Attribution License (MIT-0)", "MIT-0", "MIT-0 License"),
+    "Unlicense": ("The Unlicense", "Unlicense", "The Unlicense (Unlicense)"),
+    "WTFPL": ("WTFPL",),
+    "Zlib": ("zlib License", "The zlib License", "zlib License (Zlib)", "zlib/libpng License", "The zlib/libpng License", "zlib"),
+}

@@ -2,7 +2,8 @@
 
 A text is brought to one form (lower case, no copyright lines, no list marks, no
 punctuation, one spelling for equivalent words) and digested whole; the digest is joined
-to the digests of known licences. The known table is a parameter; its default is
+to the digests of known licences, then that of the text without lines of holders that have no year.
+The known table is a parameter; its default is
 ``KNOWN``. Its digests are broadcast only when it has at most ``SMALL`` rows, and joined by
 shuffle otherwise.
 
@@ -55,6 +56,11 @@ EQUIVALENT = (
 
 #: Lines that name a holder or reserve rights, and marks at the start of a line.
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that name a holder without a year, unlike a wrapped line that goes on about copyright.
+HOLDER_LINE = (
+    r"(?m)^[ \t*#/;-]*copyright[ \t]*[:,]?[ \t]+(?!(?:notices?|holders?|owners?|ownership|laws?|licen[sc]es?|acts?|and|or|in|is|are|as|to|on|of|"
+    r"for|interests?|statements?|protections?|treat(?:y|ies)|disclaimers?|information|claims?|status|rights?|permissions?)\b)[^\n]+$"
+)
 LIST_MARK = r"(?m)^[ \t]*([*#/;-]+|\(?[0-9a-z][.)])[ \t]+"
 
 
@@ -75,11 +81,19 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def nameless_digest(text: Column, canonical_sha256: Column) -> Column:
+    """The digest without lines of holders that have no year; the canonical one, as given, without such lines."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    named = F.contains(low, F.lit("copyright")) & low.rlike(HOLDER_LINE)
+    return F.when(named, digest(F.regexp_replace(low, HOLDER_LINE, ""))).otherwise(canonical_sha256)
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """The default table (license_id, text)."""
-    from wayfold.llm.license_texts import KNOWN
+    """The default table (license_id, text): every text without a title and under each published one."""
+    from wayfold.llm.license_texts import KNOWN, TITLES
 
-    return spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
+    rows = [(k, f"{title}\n\n{text}") for k, text in KNOWN.items() for title in ("", *TITLES[k])]
+    return spark.createDataFrame(rows, "license_id string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,12 +105,16 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
         .groupBy("known_sha256")
         .agg(F.min("license_id").alias("license_id"))
     )
-    if known.limit(SMALL + 1).count() <= SMALL:
+    small = known.limit(SMALL + 1).count() <= SMALL
+    if small:
         sides = F.broadcast(sides)
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("canonical_sha256"))
-    return rows.join(sides, F.col("canonical_sha256") == F.col("known_sha256"), "left").select(
-        "doc_id", "canonical_sha256", "license_id"
-    )
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), digest(text).alias("canonical_sha256"))
+    rows = rows.select("doc_id", "canonical_sha256", nameless_digest(F.col("text"), F.col("canonical_sha256")).alias("nameless_sha256"))
+    other = sides.select(F.col("known_sha256").alias("other_sha256"), F.col("license_id").alias("other_id"))
+    found = rows.join(sides, F.col("canonical_sha256") == F.col("known_sha256"), "left")
+    found = found.join(F.broadcast(other) if small else other, F.col("nameless_sha256") == F.col("other_sha256"), "left")
+    return found.select("doc_id", "canonical_sha256", F.coalesce("license_id", "other_id").alias("license_id"))
 
 
 def twin_sql(known: dict[str, str]) -> str:
