@@ -271,3 +271,17 @@ def test_published_license_files(spark):
     assert {r.doc_id: r.license_id for r in licenses.scan(frame).collect()} == {k: want for k, want, _ in docs}
     known = licenses.known_licenses(spark).select("license_id", licenses.digest(licenses.F.col("text")).alias("h"), "text")
     assert known.where(licenses.nameless_digest(licenses.F.col("text"), licenses.F.col("h")) != licenses.F.col("h")).count() == 0
+
+
+def test_quality_counts_every_trusted_row(spark):
+    """More trusted rows than any former limit; their words are counted, and the threshold is their histogram's."""
+    from pyspark.sql import functions as F
+
+    n = 120_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of a text that is long enough to count here "), F.col("id") % 7).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality._trusted(labels).count() == n
+    model = quality.fit(docs, labels)
+    means = quality.with_features(docs.join(quality._trusted(labels).where("aside"), F.col("doc_id") == F.col("trusted_id"))).select(quality._mean_ratio(model.ratios))
+    exact = sorted(r[0] for r in means.collect())
+    assert abs(model.threshold - exact[int(quality.TAIL * (len(exact) - 1))]) <= 1.01 / quality.UNIT

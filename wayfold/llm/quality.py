@@ -3,14 +3,14 @@
 Every document gets plain counts from its words, and a score: the mean over its one- and
 two-word features of log(p_trusted / p_raw), where both are multinomials over ``BUCKETS``
 hashed features. The raw corpus is every document; the trusted ones are documents whose
-label says quality 1, of which those with the smallest id hashes, at most ``trusted_rows``,
-are used: three quarters for the counts, the rest, which no count has seen, for the threshold.
+label says quality 1: three quarters of them for the counts, the rest, which no count has seen, for the threshold.
 Scores are sums of whole numbers (ten-thousandths of a nat), so they do not
 depend on the order of summation, and a document is kept when its mean reaches a threshold
 that all but ``TAIL`` of those other trusted documents reach.
 
-The model is ``BUCKETS`` whole numbers at any corpus size, held as one constant array. No
-step shuffles texts: counts are combined before the shuffle and the rest is per row.
+The model is ``BUCKETS`` whole numbers at any corpus size, held as one constant array. Counts
+are combined before the shuffle and the rest is per row; texts are shuffled only where the trusted ids are too many
+for the planner to broadcast.
 
 Words are runs of anything but space and the control characters 9 to 13. Null and empty
 texts have no words, fail the base rules and are dropped. A null id is never trusted.
@@ -30,7 +30,6 @@ BUCKETS = 1 << 14
 UNIT = 10_000
 SMOOTHING = 1.0
 TAIL = 0.005
-TRUSTED_ROWS = 100_000
 LEAST_WORDS = 10
 MOST_REPEATED = 0.2
 WINDOW = 5
@@ -128,16 +127,26 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _trusted(labels: DataFrame, trusted_rows: int) -> DataFrame:
-    """Ids of trusted documents, at most ``trusted_rows``, which bounds their broadcast, and which are set aside."""
+def _trusted(labels: DataFrame) -> DataFrame:
+    """Ids of all trusted documents, and which are set aside; how they meet the texts is left to the planner."""
     known = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted_id")).distinct()
-    some = known.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted_rows)
-    return F.broadcast(some.withColumn("aside", F.pmod(F.xxhash64(F.lit(1), "trusted_id"), F.lit(4)) == 0))
+    return known.withColumn("aside", F.pmod(F.xxhash64(F.lit(1), "trusted_id"), F.lit(4)) == 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_rows: int = TRUSTED_ROWS) -> Model:
+def _tail(scores: DataFrame) -> float | None:
+    """The score that all but TAIL of the rows of (mean) reach, in steps of 1 / UNIT, from a histogram of them all."""
+    steps = scores.select(F.floor(F.col("mean") * UNIT).alias("step")).groupBy("step").count().orderBy("step").collect()  # bounded by the ratios' range
+    left = TAIL * (sum(r["count"] for r in steps) - 1)
+    for r in steps:
+        left -= r["count"]
+        if left < 0:
+            return r["step"] / UNIT
+    return None
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Feature ratios from all documents against the trusted ones, and the threshold."""
-    ids = _trusted(labels, trusted_rows)
+    ids = _trusted(labels)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = rows.join(ids, F.col("id") == F.col("trusted_id"), "left")
     counts = (
@@ -158,13 +167,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     unseen = rows.join(ids.where("aside"), F.col("id") == F.col("trusted_id"))
     seen = with_features(unseen.select("text")).where(F.size("w") >= LEAST_WORDS)
-    threshold = seen.select(_mean_ratio(ratios).alias("mean")).agg(F.percentile("mean", F.lit(TAIL)).alias("t")).first()["t"]
-    return Model(ratios, float(threshold) if threshold is not None else 0.0)
+    threshold = _tail(seen.select(_mean_ratio(ratios).alias("mean")))
+    return Model(ratios, threshold if threshold is not None else 0.0)
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, the counts, base_failed, score, threshold and kept."""
-    model = fit(docs, labels, id_col, text_col, trusted_rows)
+    model = fit(docs, labels, id_col, text_col)
     rows = with_features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     scored = base_counts(rows).withColumn("score", _mean_ratio(model.ratios))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > round(100 * MOST_REPEATED) * F.col("n_words"))
