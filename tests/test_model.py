@@ -103,3 +103,20 @@ def test_many_levels_train(spark):
     settings = model.TreeSettings(depth=2, rounds=1, rate=0.3, row_sample=1.0, column_sample=1.0)
     fitted = model.train_gbt(df, ["v"], ["c"], "y", settings)
     assert model.with_probability(fitted, df).where("pred_prob BETWEEN 0 AND 1").count() == 280
+
+
+@pytest.mark.parametrize("name", ["train_gbt", "score_batch", "save_load_model", "feature_importance", "conversion_train_eval", "rfe_rank", "rfe_sweep"])
+def test_queries_train_with_the_documented_settings(spark, monkeypatch, name):
+    from __spark_entry__ import SMALL, queries
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args, **named):
+        raise Stop([x for x in (*args, *named.values()) if isinstance(x, model.TreeSettings)])
+
+    monkeypatch.setattr(model, "train_gbt", stop)
+    monkeypatch.setattr(model, "rfe_rank", stop)
+    with pytest.raises(Stop) as told:
+        queries()[name](spark, SMALL)
+    assert told.value.args[0] == [model.ELIMINATION if name.startswith("rfe") else model.TreeSettings()]

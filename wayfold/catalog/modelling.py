@@ -36,7 +36,6 @@ COLUMNS = conversion.ConversionColumns(
     mode_fill=("dwelling_type", "ability_part"),
     ignore=("opps", "fiscalyear", "fiscalmonth", "fiscalweek", "score", "buying_power_score", "avg_zip_won_amount"),
 )
-ROUNDS, DEPTH = 4, 4
 TRAIN = "substr(md5(concat('2', opportunityid)), 1, 8) < 'cccccccc'"
 
 
@@ -274,10 +273,6 @@ def conversion_features(t: Inputs) -> DataFrame:
 # --- training --------------------------------------------------------------
 
 
-def _settings(rounds: int = ROUNDS, depth: int = DEPTH) -> model.TreeSettings:
-    return model.fewer_rounds(model.TreeSettings(rate=0.1), rounds, depth)
-
-
 NUMERIC = ["quantity", "tax", "home_value", "score", "filled_balance", "filled_discount"]
 CATEGORICAL = ["response_channel", "opp_type"]
 
@@ -294,7 +289,7 @@ def _training_rows(t: Inputs) -> DataFrame:
 @query("train_gbt")
 def train_gbt(t: Inputs) -> DataFrame:
     rows = _training_rows(t)
-    fitted = model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", _settings())
+    fitted = model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", model.TreeSettings())
     return model.metrics(model.with_probability(fitted, rows), "won", "train")
 
 
@@ -303,7 +298,7 @@ def train_gbt(t: Inputs) -> DataFrame:
 def score_batch(t: Inputs) -> DataFrame:
     rows, path = t.stored("conversion"), scratch_path(t.spark, "scoring")
     ready = conversion.prepare(rows, COLUMNS, holidays_of(rows, COLUMNS.day), target_threshold=0.0, mutual=0.8)
-    fitted = model.train_gbt(ready.train, ready.numeric, ready.categorical, "won", _settings(2))
+    fitted = model.train_gbt(ready.train, ready.numeric, ready.categorical, "won", model.TreeSettings())
     scoring.save_scoring(ready, fitted, path)
     batch = (["opportunityid", "zip"], date(1997, 2, 1), date(1997, 3, 31))
     saved = scoring.score_saved(rows, COLUMNS, path, *batch)
@@ -318,7 +313,7 @@ def score_batch(t: Inputs) -> DataFrame:
 def save_load_model(t: Inputs) -> DataFrame:
     rows = _training_rows(t)
     path = scratch_path(t.spark, "model")
-    fitted = model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", _settings(2))
+    fitted = model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", model.TreeSettings())
     save_model(fitted, path)
     both = model.with_probability(load_model(path), model.with_probability(fitted, rows, "before"), "after")
     return both.select("opportunityid", (F.col("before") == F.col("after")).alias("same_score"))
@@ -327,12 +322,12 @@ def save_load_model(t: Inputs) -> DataFrame:
 @query("feature_importance")
 def feature_importance(t: Inputs) -> DataFrame:
     rows = _training_rows(t)
-    fitted = model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", _settings())
+    fitted = model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", model.TreeSettings())
     return model.feature_importance(fitted, rows, NUMERIC, "won")
 
 
 def _ranks(t: Inputs, rows: DataFrame) -> dict[str, int]:
-    return model.rfe_rank(rows, NUMERIC, "won", _settings(2, 3), keep=2, step=2)
+    return model.rfe_rank(rows, NUMERIC, "won", model.ELIMINATION, keep=2, step=2)
 
 
 def _rank_table(t: Inputs, ranks: dict[str, int]) -> DataFrame:
@@ -348,7 +343,7 @@ def rfe_rank(t: Inputs) -> DataFrame:
 def rfe_sweep(t: Inputs) -> DataFrame:
     rows = _training_rows(t)
     train, test = sampling.split_fraction(rows, "opportunityid", 0.8, "2")
-    return model.rfe_sweep(train, test, _ranks(t, train), "won", _settings(2, 3))
+    return model.rfe_sweep(train, test, _ranks(t, train), "won", model.ELIMINATION)
 
 
 @query("top_features", twin("""SELECT feature, CAST(rank AS BIGINT) AS rank FROM (
@@ -367,7 +362,7 @@ def top_features(t: Inputs) -> DataFrame:
 def conversion_train_eval(t: Inputs) -> DataFrame:
     rows = t.stored("conversion")
     ready = conversion.prepare(rows, COLUMNS, holidays_of(rows, COLUMNS.day), target_threshold=0.0, mutual=0.8)
-    fitted = model.train_gbt(ready.train, ready.numeric, ready.categorical, "won", _settings())
+    fitted = model.train_gbt(ready.train, ready.numeric, ready.categorical, "won", model.TreeSettings())
     parts = [
         model.metrics(model.with_probability(fitted, frame), "won", name)
         for name, frame in (("train", ready.train), ("test", ready.test), ("validation", ready.validation))
