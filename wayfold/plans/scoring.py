@@ -6,10 +6,10 @@ import json
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.boosting import BoostedModel
 from wayfold.operators.calendar import holidays_of
 from wayfold.operators.outliers import bounds_as_dict, clip_to_bounds
 from wayfold.plans.conversion import ConversionColumns, FeatureFit, Prepared, apply_features, apply_fill, encode_columns
@@ -19,7 +19,7 @@ from wayfold.sources.fitted import load_fitted_tables, load_model, save_fitted_t
 _TABLES = ("fill", "zips", "bounds")
 
 
-def save_scoring(prepared: Prepared, model: PipelineModel, folder: str) -> None:
+def save_scoring(prepared: Prepared, model: BoostedModel, folder: str) -> None:
     """Store all that scoring needs: zip, fill and bound tables, category levels, sparse and chosen columns, the model."""
     plan = {
         "levels": {c: list(v) for c, v in prepared.fit.levels.items()},
@@ -39,7 +39,7 @@ def score_fitted(
     c: ConversionColumns,
     fit: FeatureFit,
     tables: Mapping[str, DataFrame],
-    model: PipelineModel,
+    model: BoostedModel,
     ids: Sequence[str],
     first: date,
     last: date,
@@ -66,4 +66,4 @@ def score_saved(
     plan = json.loads(spark.read.parquet(f"{folder}/plan").first()["plan"])
     tables = load_fitted_tables(spark, folder, plan["tables"])
     fit = FeatureFit(tables["zips"], plan["levels"], plan["sparse"])
-    return score_fitted(rows, c, fit, tables, load_model(f"{folder}/model"), ids, first, last, name)
+    return score_fitted(rows, c, fit, tables, load_model(spark, f"{folder}/model"), ids, first, last, name)
