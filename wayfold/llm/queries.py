@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, chat, exact, html, importable, licenses, neardup, packing, quality, secrets, toxicity
+from wayfold.llm import (
+    bpe, chat, exact, html, importable, licenses, mixing, neardup, packing, periodic, quality, ranked, secrets, toxicity,
+)
 from wayfold.llm.license_texts import KNOWN
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +78,22 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents"))
 
 
+def op11_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in all documents."""
+    return periodic.periodic_runs(_table(spark, folder, "documents"), change=periodic.planted)
+
+
+def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with what the mix takes of each and when."""
+    mixed = mixing.mix(_table(spark, folder, "documents"))
+    return mixed.withColumns({c: F.round(c, 9) for c in ("position", "again")})
+
+
+def op13_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The best documents for every benchmark item."""
+    return ranked.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 OP2_SQL = r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body,
@@ -120,9 +138,13 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
+    "op11_periodic": op11_periodic,
+    "op12_mixing": op12_mixing,
+    "op13_ranked": op13_ranked,
 }
 TWINS: dict[str, str] = {
     "op2_perspectives": OP2_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_licenses": licenses.twin_sql(KNOWN),
+    "op12_mixing": mixing.SQL,
 }
