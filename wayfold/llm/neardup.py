@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from wayfold.llm.exact import maybe_repeated, repeated_cells
-from wayfold.llm.words import hashed_words, mixed, runs
+from wayfold.llm.words import hashed_words, mixed, runs, tidy
 from wayfold.storage import cut
 
 WIDTH = 5
@@ -156,13 +156,19 @@ def _sign(batches):
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys[counts > 0].reshape(-1)))
             columns = [batch.column(0).slice(first, end - first), pa.array(node, pa.binary()), bands]
             yield pa.RecordBatch.from_arrays(columns, ["id", "node", "bands"])
+    tidy()
 
 
-def _named(batches):
-    """Add each row's node as the last column; the text is the second column."""
-    for batch in batches:
-        node = [n for _, _, some, _, _ in _nodes(batch.column(1)) for n in some]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.binary())], [*batch.schema.names, "node"])
+def _named(place: int):
+    """Add each row's node as the last column; the text is a field of the struct that is the second column."""
+
+    def run(batches):
+        for batch in batches:
+            node = [n for _, _, some, _, _ in _nodes(batch.column(1).field(place)) for n in some]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.binary())], [*batch.schema.names, "node"])
+        tidy()
+
+    return run
 
 
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -343,17 +349,18 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
     return links.unionByName(_rest_links(now.join(buckets, "key"), texts)) if largest else links
 
 
-def _with_node(rows: DataFrame) -> DataFrame:
-    """Add the identity of the words of the second column."""
-    return rows.mapInArrow(_named, StructType([*rows.schema.fields, StructField("node", BinaryType())]))
+def _with_node(rows: DataFrame, text_col: str) -> DataFrame:
+    """Add the identity of the words of a text that is in the struct of the second column."""
+    place = rows.schema.fields[1].dataType.names.index(text_col)
+    return rows.mapInArrow(_named(place), StructType([*rows.schema.fields, StructField("node", BinaryType())]))
 
 
 def _texts_of(docs: DataFrame, text_col: str, members: DataFrame) -> DataFrame:
     """One (node, text) per node of ``members``; a Bloom filter keeps most other texts out of the shuffle."""
     wanted = members.select("node").distinct()
     filters = cut(repeated_cells(wanted.select(F.hex("node").alias("digest")), "digest", least=1), "cells")
-    rows = _with_node(docs.select(F.lit(0).alias("x"), F.col(text_col).alias("text"))).withColumn("digest", F.hex("node"))
-    some = maybe_repeated(rows, "digest", filters, "maybe").where("maybe")
+    rows = _with_node(docs.select(F.lit(0).alias("x"), F.struct(F.col(text_col).alias("text")).alias("row")), "text")
+    some = maybe_repeated(rows.select("row.text", "node", F.hex("node").alias("digest")), "digest", filters, "maybe").where("maybe")
     one = some.groupBy("node").agg(F.first("text").alias("text"))
     return cut(one.join(wanted, "node", "left_semi"), "texts")
 
@@ -400,8 +407,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = nodes.select("node", "root").join(several, "root").select(F.col("node").alias("of"), "first", (F.col("node") == F.col("keeper")).alias("stays"))
     marks = cut(marks, "marks")
     filters = cut(repeated_cells(marks.select(F.hex("of").alias("digest")), "digest", least=1), "cells")
-    rows = _with_node(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row")))
-    flagged = maybe_repeated(rows.drop("text").withColumn("digest", F.hex("node")), "digest", filters, "maybe")
+    rows = _with_node(docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row")), text_col)
+    flagged = maybe_repeated(rows.withColumn("digest", F.hex("node")), "digest", filters, "maybe")
     alone = flagged.where(~F.col("maybe")).select("row.*")
     some = flagged.where("maybe").join(marks, F.col("node") == F.col("of"), "left")
     kept = some.where(F.col("stays").isNull() | (F.col("stays") & F.col("id").eqNullSafe(F.col("first"))))

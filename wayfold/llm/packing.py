@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from wayfold.llm.words import tidy
 from wayfold.storage import cut
 
 LENGTH = 2048
@@ -34,7 +35,8 @@ ISLAND = 4000
 SLACK = 1
 POPULATION = 4
 GENERATIONS = 6
-CACHE = 300_000
+#: Bytes of parts and ids that an encoder remembers within a task.
+CACHE = 1 << 24
 CLOSING = b"\0\0\0\0"
 
 # Fixed value: the splitting pattern of the byte-level vocabulary.
@@ -45,8 +47,8 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     A text without two neighbouring white-space characters splits into independent parts before each
-    space and each line break. Parts are encoded once and remembered, up to ``CACHE`` of
-    them. Parts of Latin letters go through the faster of two libraries, which has the same
+    space and each line break. Parts are encoded once and remembered, up to ``CACHE`` bytes of
+    them, until the task ends. Parts of Latin letters go through the faster of two libraries, which has the same
     merges; any other text is left to the tokenizer itself.
     """
 
@@ -62,6 +64,11 @@ class Encoder:
         ranks = {bytes(letters[c] for c in piece): i for piece, i in vocab.items() if piece not in special}
         self.fast = tiktoken.Encoding("parts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes | None] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
 
     def __call__(self, text: str) -> bytes:
         if "<|" not in text:
@@ -77,10 +84,12 @@ class Encoder:
         word = part.removeprefix("\n")
         if not word or word[0].isspace() or word[-1].isspace() or max(word) > "ɏ":
             raise ValueError(part)
-        if len(self.known) >= CACHE:
-            self.known.clear()
         ids = self.fast.encode_ordinary(part if part[0] == "\n" else " " + part)
-        self.known[part] = found = np.array(ids, "<u4").tobytes()
+        found = np.array(ids, "<u4").tobytes()
+        self.held += 2 * len(part) + len(found) + _ENTRY
+        if self.held > CACHE:
+            self.forget()
+        self.known[part] = found
         return found
 
 
@@ -91,6 +100,7 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+_ENTRY = 200  # bytes that a remembered part takes beside its characters
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -123,6 +133,8 @@ def _pieces(batches, path: str, length: int):
                 number += 1
         columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], names)
+    encode.forget()
+    tidy()
 
 
 class Packing:

@@ -9,8 +9,9 @@ depend on the order of summation, and a document is kept when its mean reaches a
 that all but ``TAIL`` of those other trusted documents reach.
 
 The model is ``BUCKETS`` whole numbers at any corpus size, held as one constant array. Counts
-are combined before the shuffle and the rest is per row; texts are shuffled only where the trusted ids are too many
-for the planner to broadcast.
+are combined before the shuffle and the rest is per row. Raw counts need no join. A Bloom filter of fixed size leaves
+trusted documents, and few others, to the join with the trusted ids, and what it finds is stored once for the trusted
+counts and the threshold; so at every size only texts of trusted documents can be shuffled.
 
 Words are runs of anything but space and the control characters 9 to 13. Null and empty
 texts have no words, fail the base rules and are dropped. A null id is never trusted.
@@ -26,6 +27,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.exact import maybe_repeated, repeated_cells
+from wayfold.storage import cut
+
 BUCKETS = 1 << 14
 UNIT = 10_000
 SMOOTHING = 1.0
@@ -60,12 +64,12 @@ def with_features(docs: DataFrame) -> DataFrame:
 
 
 def exploded_features(docs: DataFrame) -> DataFrame:
-    """(good, bucket): the same features of (text, good), one a row, by expressions that Spark compiles."""
+    """(bucket): the same features of (text), one a row, by expressions that Spark compiles."""
     one = words(F.col("text"))
-    pairs = docs.select("good", one.alias("a")).select("good", F.explode(F.arrays_zip("a", F.slice("a", 2, F.greatest(F.size("a"), F.lit(1))).alias("b"))).alias("p"))
-    hashed = pairs.select("good", F.xxhash64("p.a").alias("a"), F.when(F.col("p.b").isNotNull(), F.xxhash64("p.b")).alias("b"))
+    pairs = docs.select(one.alias("a")).select(F.explode(F.arrays_zip("a", F.slice("a", 2, F.greatest(F.size("a"), F.lit(1))).alias("b"))).alias("p"))
+    hashed = pairs.select(F.xxhash64("p.a").alias("a"), F.when(F.col("p.b").isNotNull(), F.xxhash64("p.b")).alias("b"))
     both = F.array(F.pmod("a", F.lit(BUCKETS)), F.when(F.col("b").isNotNull(), F.pmod(F.xxhash64("a", "b"), F.lit(BUCKETS))))
-    return hashed.select("good", F.explode(both).alias("bucket")).where("bucket IS NOT NULL")
+    return hashed.select(F.explode(both).alias("bucket")).where("bucket IS NOT NULL")
 
 
 def _mean_ratio(ratios: tuple[int, ...]) -> Column:
@@ -128,7 +132,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
-    """Ids of all trusted documents, and which are set aside; how they meet the texts is left to the planner."""
+    """Ids of all trusted documents, and which are set aside."""
     known = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted_id")).distinct()
     return known.withColumn("aside", F.pmod(F.xxhash64(F.lit(1), "trusted_id"), F.lit(4)) == 0)
 
@@ -144,20 +148,32 @@ def _tail(scores: DataFrame) -> float | None:
     return None
 
 
+def _trusted_texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text, aside) of the trusted documents among (id, text), stored."""
+    ids = cut(ids, "trusted")
+    filters = cut(repeated_cells(ids.select(_digest(F.col("trusted_id")).alias("digest")), "digest", least=1), "cells")
+    some = maybe_repeated(rows.withColumn("digest", _digest(F.col("id"))), "digest", filters, "maybe").where("maybe")
+    return cut(some.join(ids, F.col("id") == F.col("trusted_id")).select("text", "aside"), "known")
+
+
+def _digest(name: Column) -> Column:
+    return F.sha2(name.cast("string"), 256)
+
+
+def _counts(texts: DataFrame) -> list[int]:
+    """How often each of the BUCKETS features is in (text)."""
+    out = [0] * BUCKETS
+    for r in exploded_features(texts).groupBy("bucket").count().collect():  # BUCKETS rows at most
+        out[r["bucket"]] = r["count"]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Feature ratios from all documents against the trusted ones, and the threshold."""
-    ids = _trusted(labels)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = rows.join(ids, F.col("id") == F.col("trusted_id"), "left")
-    counts = (
-        exploded_features(marked.select("text", F.coalesce(~F.col("aside"), F.lit(False)).cast("long").alias("good")))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
-        .collect()  # BUCKETS rows at most
-    )
-    raw, good = [0] * BUCKETS, [0] * BUCKETS
-    for r in counts:
-        raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
+    known = _trusted_texts(rows, _trusted(labels))
+    raw = _counts(rows.select("text"))
+    good = _counts(known.where("NOT aside").select("text"))
     all_raw, all_good = sum(raw), sum(good)
     if not all_good:
         return Model((0,) * BUCKETS, 0.0)
@@ -165,8 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         round(UNIT * (math.log((g + SMOOTHING) / (all_good + SMOOTHING * BUCKETS)) - math.log((r + SMOOTHING) / (all_raw + SMOOTHING * BUCKETS))))
         for g, r in zip(good, raw, strict=True)
     )
-    unseen = rows.join(ids.where("aside"), F.col("id") == F.col("trusted_id"))
-    seen = with_features(unseen.select("text")).where(F.size("w") >= LEAST_WORDS)
+    seen = with_features(known.where("aside").select("text")).where(F.size("w") >= LEAST_WORDS)
     threshold = _tail(seen.select(_mean_ratio(ratios).alias("mean")))
     return Model(ratios, threshold if threshold is not None else 0.0)
 

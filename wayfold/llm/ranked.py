@@ -17,7 +17,7 @@ Sizes: bounds are matrix products of at most ``ROWS`` documents with a block of
 ``FIRST`` best pairs of a query, or the pairs above the threshold. The query terms in a broadcast are those of one block. Pairs and not
 texts are shuffled, and texts that are no candidate are not read into words.
 
-Null and empty texts have no term, are in no list and do not count; the same holds for queries. A
+Null and empty texts have no term, are in no list and do not count; the same holds for queries. Queries that share an id are one. A
 null id sorts last and is written as null. Rows that share an id are ranked each by itself. Extra
 columns are not read. An empty table gives an empty result.
 """
@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayfold.llm.exact import maybe_repeated, repeated_cells
 from wayfold.storage import cut
 
 TOP = 10
@@ -253,14 +254,18 @@ def _bounded(sent, totals: Totals, first: int | None, floors: tuple[np.ndarray,
 
 def _scored(spark: SparkSession, texts: DataFrame, pairs: DataFrame, sent, totals: Totals) -> DataFrame:
     """(q, place, doc_id, score) of pairs (place, q): each chosen text is read once for all its queries."""
-    by_text = pairs.groupBy("place").agg(F.collect_set("q").alias("qs"))  # a block's queries at most
+    by_text = cut(pairs.groupBy("place").agg(F.collect_set("q").alias("qs")), "chosen")  # a block's queries at most
+    # A Bloom filter of fixed size leaves the texts of candidates, and few others, to the join.
+    digest = F.sha2(F.col("place").cast("string"), 256)
+    filters = cut(repeated_cells(by_text.select(digest.alias("digest")), "digest", least=1), "cells")
+    texts = maybe_repeated(texts.withColumn("digest", digest), "digest", filters, "maybe").where("maybe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = sent.value
         for batch in batches:
             out = []
             for place, doc_id, text, qs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(q, place, doc_id, s) for q, s in zip(qs, block.scores(text, qs, totals), strict=True) if s > 0]
+                out += [(q, place, doc_id, s) for q, s in zip(qs, block.scores(text or b"", qs, totals), strict=True) if s > 0]
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["q", "place", "doc_id", "score"])
 

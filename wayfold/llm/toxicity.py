@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wayfold.llm.words import ALNUM, LOWER, hashed_words
+from wayfold.llm.words import ALNUM, LOWER, hashed_words, tidy
 from wayfold.storage import cut
 
 BUCKET_BITS = 20
@@ -92,6 +92,8 @@ def _count_tokens(batches):
     for at in range(0, len(seen), 100_000):
         some = seen[at : at + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["bucket", "clean", "toxic"])
+    del counts
+    tidy()
 
 
 def token_scores(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -246,24 +248,27 @@ _FOUND = "score double, evidence double, n_tokens long, passages array<struct<fi
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Add to each document its score, evidence, number of tokens and significant passages (token positions).
 
-    ``keep`` carries all columns of ``docs`` in a struct ``row``; otherwise only the id comes along.
+    ``keep`` carries all columns of ``docs`` in a struct ``row``, whose text is read there; otherwise only the id comes along.
     """
     what = "row" if keep else "doc_id"
-    rows = docs.select(F.col(text_col).alias("text"), (F.struct("*") if keep else F.col(id_col)).alias(what))
+    place = docs.columns.index(text_col)
+    rows = docs.select(F.struct("*").alias(what)) if keep else docs.select(F.col(id_col).alias(what), F.col(text_col).alias("text"))
 
     def scored(batches):
         table = None if model is None else _table(model.buckets, model.weights)
         for batch in batches:
+            texts = batch.column(0).field(place) if keep else batch.column(1)
             out = []
-            for n, found in [(0, [])] * batch.num_rows if model is None else _scored(batch.column(0), table):
+            for n, found in [(0, [])] * batch.num_rows if model is None else _scored(texts, table):
                 total, strong = evidence(n, found, model.decay, model.scale) if found else (0.0, [])
                 p = 0.0 if model is None else probability(model, total, n)
                 out.append((p, float(total), n, [{"first": a, "end": b, "surprise": float(x)} for a, b, x in strong]))
             kinds = [pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("surprise", pa.float64())]))]
             columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], [what, "score", "evidence", "n_tokens", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [what, "score", "evidence", "n_tokens", "passages"])
+        tidy()
 
-    return rows.mapInArrow(scored, StructType([rows.schema[1], *StructType.fromDDL(_FOUND)]))
+    return rows.mapInArrow(scored, StructType([rows.schema[0], *StructType.fromDDL(_FOUND)]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,13 +8,15 @@ memory follows the longest word and never the batch.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C55
 _MASK = (1 << 64) - 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -48,6 +50,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the machine: a Python worker outlives its task."""
+    for key in [k for k, v in _POWERS.items() if len(v) > SLICE + 1]:  # grown for one very long word
+        del _POWERS[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and its row offsets; null counts as empty."""
     column = pc.fill_null(column, "")
