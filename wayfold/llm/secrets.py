@@ -35,8 +35,10 @@ LEAST_SHARE = 0.001
 LEAST_TEXTS = 3
 LEAST_BITS = 40.0
 LEAST_LENGTH = 6
-#: Longest value whose every segmentation is weighed; a longer one is cut into pieces of this length, whose costs add up.
-PIECE = 64
+#: Longest word of the dictionary, and longest walk and repeated block that one segment may hold. Values of any length are
+#: weighed whole, in time linear in their length.
+LONGEST_WORD = 24
+SEGMENT = 64
 PLACEHOLDER = "[SECRET]"
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -52,15 +54,20 @@ _NAME = (
     r"(?:(?<![A-Za-z])|(?<=[a-z0-9])(?=[A-Z]))"
     r"(?ai:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|login|"
     r"(?:api|access|private|client|session)[_\x20.-]?(?:key|secret|token))"
-    r"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?=s\b))[A-Za-z0-9_.-]{0,64}"
+    r"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?=s\b))"
 )
 # A quoted value ends at its closing quote; a bare one at white space, a quote, a tag, or a delimiter before the next name.
 _QUOTED = r"""(?:"((?:\\.|[^"\\\n]){6,})"|'((?:\\.|[^'\\\n]){6,})'|`([^`\n]{6,})`)"""
 _BARE = r"""((?:(?![,;&|][A-Za-z_][\w.-]*[=:]|</)[^\s"'`]){6,})"""
-CONTEXT = re.compile(
-    rf"""{_NAME}["'`\]]{{0,2}}\x20*(?:[:=]>?|\x20is\x20|\x20was\x20)\x20*"""
-    rf"""(?ai:(?:bearer|basic)\x20+)?(?:{_QUOTED}|["'`]?{_BARE})|(?ai:\bbearer\x20+){_BARE}"""
-)
+NAME = re.compile(_NAME)
+#: A whole identifier and what leads to its value. Each identifier is read once, however long it is.
+HEAD = re.compile(r"""(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]++(?=(["'`\]]{0,2}\x20*(?:[:=]>?|\x20is\x20|\x20was\x20)\x20*))""")
+VALUE = re.compile(rf"""(?ai:(?:bearer|basic)\x20+)?(?:{_QUOTED}|["'`]?{_BARE})""")
+BEARER = re.compile(rf"""(?ai:\bbearer\x20+){_BARE}""")
+_WORD_BEFORE = 16
+#: A value that names an account and is no secret where the context asks for one.
+_ACCOUNT = re.compile(r"(?ai:login|auth)")
+_ADDRESS = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
 
 # Common passwords, the most common first.
 COMMON = (
@@ -78,41 +85,74 @@ _DATE = re.compile(r"(?a:(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[
 
 def guess_bits(value: str, ranks: dict[str, int]) -> float:
     """log2 of the guesses that the cheapest segmentation of a value needs."""
-    return sum(_piece_bits(value[at : at + PIECE], ranks) for at in range(0, len(value), PIECE))
+    pool = sum(size for size, found in ((26, r"[a-z]"), (26, r"[A-Z]"), (10, r"[0-9]"), (33, r"[^a-zA-Z0-9]")) if re.search(found, value))
+    return _cheapest(value, ranks, math.log2(max(pool, 10)), {})
+
+
+def word_bits(part: str, ranks: dict[str, int]) -> float:
+    """The cost of a dictionary word by its rank, with substitutions and capitals; infinite for others."""
+    word = part.lower()
+    rank, extra = ranks.get(word), 0.0
+    if rank is None:
+        plain = word.translate(STANDS_FOR)
+        rank = ranks.get(plain) if plain != word else None
+        extra = 1.0 + sum(a != b for a, b in zip(word, plain, strict=True))
+    if rank is None:
+        return math.inf
+    capitals = 0.0 if part == word else 1.0 if part[0].isupper() and part[1:] == word[1:] or part.isupper() else float(sum(c.isupper() for c in part))
+    return math.log2(rank + 1) + extra + capitals
+
+
+def date_bits(part: str) -> float:
+    return math.log2(365 * 120) + 2 * any(c in "-/._" for c in part) if _DATE.fullmatch(part) else math.inf
 
 
-def _piece_bits(value: str, ranks: dict[str, int]) -> float:
+def walk_bits(length: int, turns: int) -> float:
+    """The cost of a walk over the keyboard: its first key, length and turns between rows."""
+    return math.log2(47) + math.log2(length) + 2 * turns + 1
+
+
+def _cheapest(value: str, ranks: dict[str, int], per_char: float, known: dict[str, float]) -> float:
+    """The cost of the best segmentation. A segment costs one bit beside its own; a repeated block costs what the block costs, and
+    the logarithm of its repetitions."""
+    if value in known:
+        return known[value]
     n, low = len(value), value.lower()
-    plain = low.translate(STANDS_FOR)
-    pool = sum(size for size, found in ((26, r"[a-z]"), (26, r"[A-Z]"), (10, r"[0-9]"), (33, r"[^a-zA-Z0-9]")) if re.search(found, value))
-    per_char = math.log2(max(pool, 10))
-    days = math.log2(365 * 120)
     best = [0.0] + [math.inf] * n
+    same = [0] * (SEGMENT + 1)  # per block length: how many characters up to here equal those a block before
+    walk: list[int] = []  # turns since the start of the walk that ends here, one number a step
     for end in range(1, n + 1):
-        best[end] = min(best[end], best[end - 1] + per_char)  # brute force, one more character
-        for start in range(end - 3, -1, -1):
-            cost = None
-            word, part = low[start:end], value[start:end]
-            rank = ranks.get(word)
-            extra = 0.0
-            if rank is None and plain[start:end] != word:
-                rank, extra = ranks.get(plain[start:end]), 1.0 + sum(a != b for a, b in zip(word, plain[start:end], strict=True))
-            if rank is not None:
-                capitals = 0.0 if part == word else 1.0 if part[0].isupper() and part[1:] == word[1:] or part.isupper() else float(sum(c.isupper() for c in part))
-                cost = math.log2(rank + 1) + extra + capitals
-            if _DATE.fullmatch(part):
-                cost = min(cost if cost is not None else math.inf, days + 2 * any(c in "-/._" for c in part))
-            if all((a, b) in _NEXT for a, b in zip(word, word[1:], strict=False)):
-                turns = sum((low[i], low[i + 1]) not in _SAME_ROW for i in range(start, end - 1))
-                walk = math.log2(47) + math.log2(end - start) + 2 * turns + 1
-                cost = min(cost if cost is not None else math.inf, walk)
-            for size in range(1, (end - start) // 2 + 1):
-                if (end - start) % size == 0 and part == part[:size] * ((end - start) // size):
-                    block = min(size * per_char, math.log2(ranks[word[:size]] + 1) if word[:size] in ranks else math.inf)
-                    cost = min(cost if cost is not None else math.inf, block + math.log2((end - start) // size))
-                    break
-            if cost is not None and best[start] + cost + 1 < best[end]:
-                best[end] = best[start] + cost + 1
+        found = best[end - 1] + per_char  # brute force, one more character
+        for length in range(3, min(LONGEST_WORD, end) + 1):
+            cost = word_bits(value[end - length : end], ranks)
+            if cost < math.inf:
+                found = min(found, best[end - length] + cost + 1)
+        if low[end - 1].isdecimal():
+            for length in range(4, min(10, end) + 1):
+                cost = date_bits(value[end - length : end])
+                if cost < math.inf:
+                    found = min(found, best[end - length] + cost + 1)
+        if end > 1 and (low[end - 2], low[end - 1]) in _NEXT:
+            walk = (walk + [0])[-SEGMENT:]
+            turn = (low[end - 2], low[end - 1]) not in _SAME_ROW
+            walk = [t + turn for t in walk]
+            for steps in range(2, len(walk) + 1):
+                found = min(found, best[end - steps - 1] + walk_bits(steps + 1, walk[-steps]) + 1)
+        else:
+            walk = []
+        for size in range(1, min(SEGMENT, end - 1) + 1):
+            same[size] = same[size] + 1 if value[end - 1] == value[end - 1 - size] else 0
+            if same[size] < size:
+                continue
+            most = same[size] // size + 1
+            for times in {most, *range(2, min(most, max(SEGMENT // size, 2)) + 1)}:
+                start = end - times * size
+                # A block that repeats a smaller one is dearer than more of that one.
+                if times * size >= 3 and not any(size % d == 0 and same[d] >= times * size - d for d in range(1, size // 2 + 1)):
+                    cost = _cheapest(value[start : start + size], ranks, per_char, known)
+                    found = min(found, best[start] + cost + math.log2(times) + 1)
+        best[end] = found
+    known[value] = best[n]
     return best[n]
 
 
@@ -132,14 +172,28 @@ def _values(text: str) -> list[tuple[int, int]]:
     low = text.lower()
     if not any(word in low for word in _CONTEXT_WORDS):
         return []
-    found = []
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(m.lastindex)
-        if m.lastindex > 3:  # bare, maybe before the end of a sentence or a bracket
+    found, at = [], 0
+    while head := HEAD.search(text, at):
+        at = head.end(1)
+        # The word before belongs to a name of two words, such as "api key".
+        names = [m for m in NAME.finditer(text, max(head.start() - _WORD_BEFORE, 0), head.end()) if m.end() > head.start()]
+        value = VALUE.match(text, at) if names else None
+        if value is None:
+            at = max(head.end(), head.start() + 1)
+            continue
+        start, end = value.span(value.lastindex)
+        if value.lastindex > 3:  # bare, maybe before the end of a sentence or a bracket
             end = start + len(text[start:end].rstrip(".,;:)]}>"))
-        if end - start >= LEAST_LENGTH:
+        at = value.end()
+        account = _ACCOUNT.match(names[-1][0]) and _ADDRESS.fullmatch(text, start, end)
+        if end - start >= LEAST_LENGTH and not account:
+            found.append((start, end))
+    for m in BEARER.finditer(text):
+        start = m.start(1)
+        end = start + len(m[1].rstrip(".,;:)]}>"))
+        if end - start >= LEAST_LENGTH and not any(a < end and start < b for a, b in found):
             found.append((start, end))
-    return found
+    return sorted(found)
 
 
 def context_spans(text: str, ranks: dict[str, int]) -> list[tuple[int, int, str]]:
@@ -160,7 +214,8 @@ def _plain_words(text: str) -> set[str]:
     for start, end in sorted([*((a, b) for a, b, _ in base_spans(text)), *_values(text)]):
         parts.append(text[at : max(start, at)])
         at = max(at, end)
-    return set(re.findall(r"[^\W\d_]{3,24}", " ".join([*parts, text[at:]]).lower()))
+    words = set(re.findall(r"[^\W\d_]+", " ".join([*parts, text[at:]]).lower()))
+    return {w for w in words if 3 <= len(w) <= LONGEST_WORD}
 
 
 def _count_words(batches):
