@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -285,3 +286,105 @@ def test_quality_counts_every_trusted_row(spark):
     means = quality.with_features(docs.join(quality._trusted(labels).where("aside"), F.col("doc_id") == F.col("trusted_id"))).select(quality._mean_ratio(model.ratios))
     exact = sorted(r[0] for r in means.collect())
     assert abs(model.threshold - exact[int(quality.TAIL * (len(exact) - 1))]) <= 1.01 / quality.UNIT
+
+
+CLOSINGS = {
+    "section": "<section class='conclusion'><h2>Conclusion</h2><p>We are done here.</p></section>",
+    "container": "<div><p>last words</p></div>",
+    "classed list": "<ul class='steps'><li>Do this</li><li>Do that</li></ul>",
+    "details": "<details><summary>Why?</summary><p>Because it is.</p></details>",
+    "notes": "<ol class='footnotes'><li>See the note.</li></ol>",
+    "definitions": "<dl><dt>Term</dt><dd>Meaning</dd></dl>",
+    "table": "<table><tr><td>a1</td><td>b2</td></tr></table>",
+    "sections": "".join(f"<section class='s{c}'><h2>Head {c}</h2><p>Short text {c}.</p></section>" for c in "abcd"),
+    "sources": "<ul><li><a href='x'>Source one</a></li><li><a href='y'>Source two</a></li></ul>",
+}
+
+
+@pytest.mark.parametrize("holder", ["article", "main"])
+@pytest.mark.parametrize("place", ["start", "middle", "end"])
+@pytest.mark.parametrize("part", sorted(CLOSINGS))
+def test_short_parts_of_an_article_stay(holder, place, part):
+    inner = CLOSINGS[part]
+    body = [f"<p>{SENTENCES}</p>" * 3, f"<p>{SENTENCES}</p>" * 3]
+    body.insert({"start": 0, "middle": 1, "end": 2}[place], inner)
+    page = f"<body><nav><a href='/'>Home</a></nav><{holder}><h1>The title</h1>{''.join(body)}</{holder}><footer>Some firm</footer></body>"
+    out = html.main_text(page)
+    assert all(text in out for text in re.sub(r"<[^>]+>", "\n", inner).split("\n"))
+    assert "Home" not in out and "firm" not in out and out.count(SENTENCES.strip()) == 6
+
+
+def test_a_page_in_a_form_and_a_form_in_a_page():
+    whole = f"<form><div><h1>The title</h1>{f'<p>{SENTENCES}' * 4}</div></form>"
+    assert html.main_text(whole).split("\n\n") == ["The title", *[SENTENCES.strip()] * 4]
+    part = f"<article>{f'<p>{SENTENCES}' * 4}<form><label>Your name, please.</label></form></article>"
+    assert html.main_text(part).split("\n\n") == [SENTENCES.strip()] * 4
+
+
+@pytest.mark.parametrize("tangle", [
+    lambda k: "<b>" * k + "</i>" * k,
+    lambda k: "<ul><li>" + "<div>" * 2000 + "<li></li>" * k,
+    lambda k: "<div>" + "<b>" * k + "<div></div>" * k,
+])
+def test_tangled_long_pages_are_linear(tangle):
+    start = time.perf_counter()
+    out = html.main_text(f"<p>{SENTENCES}</p>" + tangle(60_000))
+    assert out == SENTENCES.strip() and time.perf_counter() - start < 10
+
+
+def every_segmentation(value, ranks):
+    """The least cost over all ways to cut a value, by plain recursion."""
+    import functools
+    import math
+
+    pool = sum(n for n, chars in ((26, str.islower), (26, str.isupper), (10, str.isdigit)) if any(map(chars, value)))
+    pool += 33 * any(not c.isalnum() for c in value)
+    per_char = math.log2(max(pool, 10))
+
+    @functools.cache
+    def cheapest(part):
+        return min((segment(part[:k], part) + cheapest(part[k:]) for k in range(1, len(part) + 1)), default=0.0)
+
+    def segment(part, whole):
+        costs = [len(part) * per_char]
+        low = part.lower()
+        if len(part) >= 3:
+            costs.append(secrets.word_bits(part, ranks) + 1)
+            steps = list(zip(low, low[1:]))
+            if all(s in secrets._NEXT for s in steps):
+                costs.append(secrets.walk_bits(len(part), sum(s not in secrets._SAME_ROW for s in steps)) + 1)
+            for size in range(1, len(part) // 2 + 1):
+                if len(part) % size == 0 and part == part[:size] * (len(part) // size):
+                    costs.append(cheapest(part[:size]) + math.log2(len(part) // size) + 1)
+        if len(part) >= 4:
+            costs.append(secrets.date_bits(part) + 1)
+        return min(costs)
+
+    return cheapest(value)
+
+
+@pytest.mark.parametrize("value", [
+    "password1", "Passw0rd!", "qwertyuiop", "abcabcabc", "zzzzzzzz", "20200101", "x7!xx7!x", "letmein1987", "asdfasdf", "Zq9!xT7#", "qweqweqwe1", "1212121212", "aab aab",
+])
+def test_cost_is_the_least_over_all_segmentations(value):
+    ranks = {w: k + 1 for k, w in enumerate(secrets.COMMON)}
+    assert secrets.guess_bits(value, ranks) == pytest.approx(every_segmentation(value, ranks))
+
+
+def test_costs_do_not_jump_with_length():
+    ranks = {w: k + 1 for k, w in enumerate(secrets.COMMON)}
+    for unit in ("x", "qwertyuiop", "20200101", "password"):
+        costs = [secrets.guess_bits(unit * k, ranks) for k in range(2, 90)]
+        assert all(abs(b - a) < 3 for a, b in zip(costs, costs[1:], strict=False)) and costs[-1] < secrets.LEAST_BITS
+
+
+def test_names_of_any_length_and_addresses():
+    ranks = {w: k + 1 for k, w in enumerate(secrets.COMMON)}
+    found = lambda text: [text[a:b] for a, b, _ in secrets.context_spans(text, ranks)]
+    value = "Zq9!xT7#mLp2$vB"
+    assert found("PWD" + "_x" * 80 + "=" + value) == [value]
+    assert found("foo=pwd=" + value) == [value] and found("the api key is " + value + ".") == [value]
+    assert found("login: john.doe@example.com") == [] and found("auth=a.b@example.org") == []
+    assert found("password reset: " + value) == []
+    start = time.perf_counter()
+    assert found("pass_" * 40_000) == [] and time.perf_counter() - start < 5

@@ -32,13 +32,14 @@ from pyspark.sql.types import StructType
 LEAST = 0.2
 #: Weights of one step between neighbouring paths in the smoothing: into text elements, generic containers, classed lists.
 STEP, BOX, LIST = 0.95, 0.02, 0.005
-#: Weight of a step into what stands between blocks of the page's main path.
+#: Weight of a step into what stands between blocks of the page's main path, or inside an article.
 BETWEEN = 0.5
 #: Factor on paths outside the article of a page that has one.
 PRIOR = 0.1
 #: Factor on paths in an element with the name of a menu, advert or the like: only a much higher ratio overrules it.
 NAMED = 0.05
-#: Share of link text from which a path, or an element around it with less than half of the page's text, is left out.
+#: Share of link text from which a path, or an element around it with less than half of the page's text, is left out; a list or paragraph
+#: of an article without a class may be its sources and stays.
 LINKED = 0.6
 #: Added to marks per block, so that text without marks is compared by length.
 FEW_MARKS = 0.1
@@ -54,11 +55,12 @@ BLOCKS = frozenset(
 _ENDS_P = BLOCKS - {"html", "body", "head", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _KEEPS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-#: Elements that never hold main text, and names that say the same; a header inside an article is its own.
-OUTSIDE = frozenset("head nav footer aside form menu dialog button".split())
+#: Elements that never hold main text, and names that say the same; a header inside an article is its own. A form is one of
+#: them unless it holds most of the page's text, as where a whole page is wrapped in one.
+OUTSIDE = frozenset("head nav footer aside menu dialog button".split())
 _NAMES = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|"
-    r"footer|header|masthead|comments?|replies|respond|disqus|cookies?|consent|notice|gdpr|popup|modal|newsletter|"
+    r"footer|header|masthead|comments?|replies|respond|thread|discussion|reactions?|disqus|cookies?|consent|notice|gdpr|popup|modal|newsletter|"
     r"subscribe|signup|login|search|share|sharing|social|related|recommend\w*|widget|pagination|pager|skip"
 )
 #: Words after a name that say how an element looks or is arranged; the word before them is its head.
@@ -114,13 +116,15 @@ def _outside(name: str, story: bool) -> bool:
 class _Path:
     """A root-to-leaf path of the page: its sums, and the first and last block below it."""
 
-    __slots__ = ("chars", "first", "holds", "kids", "last", "links", "marks", "n", "name", "named", "parent", "story", "weight")
+    __slots__ = ("chars", "first", "form", "plain", "holds", "kids", "last", "links", "marks", "n", "name", "named", "parent", "story", "weight")
 
     def __init__(self, parent: _Path | None, name: str, classed: bool, named: bool):
         self.parent, self.name, self.kids = parent, name, {}
         self.story = parent is not None and parent.story or name in _STORY
         self.named = name not in _STORY and (named or parent is not None and parent.named)
         self.weight = LIST if classed and name in ("ul", "ol", "menu") else BOX if name in _BOXES or classed and name == "li" else STEP
+        self.plain = self.story and not classed and name not in _BOXES  # a text element or list of the article itself
+        self.form = self if name == "form" else parent.form if parent is not None else None
         self.chars = self.links = self.marks = self.n = 0
         self.first, self.last, self.holds = -1, -1, False
 
@@ -133,6 +137,8 @@ def blocks(page: str) -> tuple[list[_Path], list[tuple[_Path, str]]]:
     """All paths, parents first, and (path, text) of every text block that is not outside the main text, in page order."""
     found: list[tuple[_Path, str]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they lie outside
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each name in the stack
+    boxes: list[int] = []  # of the open block elements in the stack
     path = _Path(None, "", False, False)
     paths = [path]
     words: list[str] = []
@@ -162,6 +168,9 @@ def blocks(page: str) -> tuple[list[_Path], list[tuple[_Path, str]]]:
         nonlocal path, hidden, anchors
         while len(stack) > depth:
             name, out = stack.pop()
+            places[name].pop()
+            if name in BLOCKS:
+                boxes.pop()
             hidden -= out
             anchors -= name == "a"
             if name in BLOCKS:
@@ -179,11 +188,9 @@ def blocks(page: str) -> tuple[list[_Path], list[tuple[_Path, str]]]:
         if not name:
             continue
         if m[2] or m[5]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    if name in BLOCKS or not any(x[0] in BLOCKS for x in stack[depth:]):
-                        close(depth)
-                    break
+            # An inline element does not end across the block it is not in.
+            if places[name] and (name in BLOCKS or not boxes or boxes[-1] < places[name][-1]):
+                close(places[name][-1])
             continue
         attributes = m[4] or m[7] or ""
         if name in VOID:
@@ -195,22 +202,18 @@ def blocks(page: str) -> tuple[list[_Path], list[tuple[_Path, str]]]:
         if name in BLOCKS:
             if not hidden:
                 flush()
-            if name in _ENDS_P:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == "p":
-                        close(depth)
-                    elif stack[depth][0] in BLOCKS:
-                        break
+            if name in _ENDS_P and boxes and stack[boxes[-1]][0] == "p":
+                close(boxes[-1])
             if name in _SAME:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in _SAME[name]:
-                        close(depth)
-                        break
-                    if stack[depth][0] in _KEEPS[name]:
-                        break
+                nearest = max((places[x][-1] for x in _SAME[name] if places[x]), default=-1)
+                if nearest > max((places[x][-1] for x in _KEEPS[name] if places[x]), default=-1):
+                    close(nearest)
         out = _outside(name, path.story)
         if out and not hidden:
             flush()
+        places[name].append(len(stack))
+        if name in BLOCKS:
+            boxes.append(len(stack))
         stack.append((name, out))
         hidden += out
         anchors += name == "a"
@@ -254,7 +257,7 @@ def path_scores(paths: list[_Path], found: list[tuple[_Path, str]]) -> dict[_Pat
     for path in paths:  # a path of links, and what lies in a small element that is mostly links
         chars, links = below[path]
         against[path] = path.parent is not None and (
-            against[path.parent] or links >= LINKED * max(chars, 1) and 2 * chars < whole and path.name not in _TITLES
+            against[path.parent] or links >= LINKED * max(chars, 1) and 2 * chars < whole and path.name not in _TITLES and not path.plain
         )
     ratio = lambda chars, marks, prior: chars * (marks + FEW_MARKS) * prior
     prior = {path: (PRIOR if story and not path.story else 1.0) * (NAMED if path.named else 1.0) for path in own_last}
@@ -278,8 +281,8 @@ def path_scores(paths: list[_Path], found: list[tuple[_Path, str]]) -> dict[_Pat
             weight = 0.0
         elif path.holds or path in holders:  # a wrapper of a title, a table or the like, or of the main path
             weight = STEP
-        elif main is not None and start < path.first and path.last < own_last[main]:
-            weight = max(weight, BETWEEN)
+        elif path.story or main is not None and start < path.first and path.last < own_last[main]:
+            weight = max(weight, BETWEEN)  # inside an article a path falls by its name, its links or ratios far below the best
         step[path] = weight
     for path in reversed(paths[1:]):  # the sums below a path, then those of the whole page as seen from it
         sums[path.parent] = [a + step[path] * b for a, b in zip(sums[path.parent], sums[path], strict=True)]
@@ -292,9 +295,26 @@ def path_scores(paths: list[_Path], found: list[tuple[_Path, str]]) -> dict[_Pat
     }
 
 
+def _without_forms(paths: list[_Path], found: list[tuple[_Path, str]]) -> list[tuple[_Path, str]]:
+    """The blocks outside of forms; a form with most of the page's text is none."""
+    if not any(path.form for path, _ in found):
+        return found
+    below = {path: path.chars for path in paths}
+    for path in reversed(paths[1:]):
+        below[path.parent] += below[path]
+    small = {path for path in paths if path.name == "form" and 2 * below[path] < below[paths[0]]}
+    gone = {}
+    for path in paths:  # parents first
+        gone[path] = path in small or path.parent is not None and gone[path.parent]
+        if gone[path]:
+            path.chars = path.links = path.marks = path.n = 0
+    return [(path, text) for path, text in found if not gone[path]]
+
+
 def main_text(page: str) -> str:
     """The blocks on paths that reach the threshold, by two line breaks."""
     paths, found = blocks(page)
+    found = _without_forms(paths, found)
     if any(path.story for path, _ in found):  # beside an article a name decides
         found = [(path, text) for path, text in found if path.story or not path.named]
     scores = path_scores(paths, found)
