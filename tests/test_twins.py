@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin on the smallest test data."""
 
+import signal
+
 import pytest
 from check import duck, plain, table
 
@@ -21,8 +23,22 @@ def test_every_twin_has_a_query():
     assert set(QUERIES) <= set(ALL)
 
 
+@pytest.fixture
+def limited(spark):
+    """A query over the limit fails by itself and does not hide the others."""
+
+    def stop(*_):
+        spark.sparkContext.cancelAllJobs()
+        raise TimeoutError("over 300 seconds")
+
+    signal.signal(signal.SIGALRM, stop)
+    signal.alarm(300)
+    yield
+    signal.alarm(0)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(name, spark, con):
+def test_query(name, spark, con, limited):
     df = QUERIES[name](spark, FOLDER)
     mine, names = table([tuple(r) for r in df.collect()], df.columns)
     if name not in TWINS:
