@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from wayfold.functions.dates import days_between, month_cohort, shift_days, week
 from wayfold.functions.rules import any_of, flag
 from wayfold.operators.joins import between_days
 from wayfold.operators.ordered import first_rows
+from wayfold.operators.products import product_of_sets
 from wayfold.plans.attribution import attribute_first, attribute_second, attribute_third, journey_exit
 from wayfold.plans.engagement import control_flags, with_control_flags
 from wayfold.plans.offers import (
@@ -261,12 +263,17 @@ def listed_members(t: JourneyTables) -> DataFrame:
 
 
 def with_purchases(df: DataFrame, t: JourneyTables) -> DataFrame:
-    """Attach first purchases, 90-day totals and earlier purchases of each member."""
-    return (
-        df.join(first_three_transactions(t.transactions, t.mapping), MEMBER, "left")
-        .join(totals_90_days(t.transactions, t.mapping), MEMBER, "left")
-        .join(prior_transactions(t.transactions, t.mapping), MEMBER, "left")
+    """Attach first purchases, 90-day totals and earlier purchases of each member.
+
+    They are stored as one table with a row per member, so that adaptive execution can split a
+    member with many rows in the one join that remains.
+    """
+    bought = (
+        first_three_transactions(t.transactions, t.mapping)
+        .join(totals_90_days(t.transactions, t.mapping), MEMBER, "full")
+        .join(prior_transactions(t.transactions, t.mapping), MEMBER, "full")
     )
+    return df.join(cut(bought, "purchases"), MEMBER, "left")
 
 
 def derive_member_columns(df: DataFrame, as_of: date) -> DataFrame:
@@ -316,7 +323,7 @@ def journey_parts(
     Joins on one key follow each other (lists, then subscriber, then member),
     so the wide rows are placed once per key.
     """
-    mails = mails_received(t.engagement).drop("subscriberkey", MEMBER)
+    mails = cut(mails_received(t.engagement).drop("subscriberkey", MEMBER), "mails")
     touched = listed_members(t).join(touches(t.engagement), "subscriberid", "left")
     placed = derive_member_columns(with_purchases(touched.join(mails, "subscriberid", "left"), t), as_of)
     variant2, variant3 = F.col("offer_3_3_variants"), F.col("offer_4_3_variants")
@@ -355,18 +362,55 @@ def journey_parts(
     }
 
 
-def _attach(rows: DataFrame, part: DataFrame, variant: str) -> DataFrame:
-    side = part.withColumnsRenamed({MEMBER: "__member", variant: "__variant"})
-    on = (F.col(MEMBER) == F.col("__member")) & F.col(variant).eqNullSafe(F.col("__variant"))
-    return rows.join(side, on, "left").drop("__member", "__variant")
+# The columns that decide which rows of a part go with a member's row.
+PART_KEYS = {
+    "members": (MEMBER, "offer_3_3_variants", "offer_4_3_variants"),
+    "offer1": (MEMBER,),
+    "offer2": (MEMBER, "offer_3_3_variants"),
+    "offer3": (MEMBER, "offer_4_3_variants"),
+}
+
+
+def combine_parts(parts: dict[str, DataFrame], columns: Sequence[str] | None = None) -> DataFrame:
+    """Every distinct combination of a member's parts, with all or the given columns.
+
+    The rows of the parts that share member and variants are the sets of a product, dealt over all
+    tasks. With ``columns`` each part is reduced to the distinct values of those first, so the
+    product is only as large as the columns need; rows may then repeat across variants.
+    """
+    on = PART_KEYS["members"]
+    keys = [f"__key_{i}" for i in range(len(on))]
+    renamed = dict(zip(on, keys, strict=True))
+    groups = cut(parts["members"].select(*[F.col(c).alias(k) for c, k in renamed.items()]).distinct(), "member-keys")
+    chosen = {}
+    for name, part in parts.items():
+        own = [c for c in part.columns if name == "members" or c not in on]
+        chosen[name] = [c for c in own if columns is None or c in columns]
+    fields = {name: F.struct(*[F.col(c) for c in own] or [F.lit(1).alias("__none")]) for name, own in chosen.items()}
+    kinds = {name: parts[name].select(fields[name].alias("x")).schema["x"].dataType for name in parts}
+    items = []
+    for name, part in parts.items():
+        shared = PART_KEYS[name]
+        item = F.struct(*[(fields[n] if n == name else F.lit(None).cast(kinds[n])).alias(n) for n in parts])
+        rows = part.select(*[F.col(c).alias(f"__own_{i}") for i, c in enumerate(shared)], item.alias("item"))
+        if name == "members":
+            rows = rows.withColumnsRenamed({f"__own_{i}": k for i, k in enumerate(keys)})
+        else:
+            same = [F.col(renamed[c]).eqNullSafe(F.col(f"__own_{i}")) for i, c in enumerate(shared)]
+            rows = groups.join(rows.distinct(), reduce(lambda a, b: a & b, same))
+        items.append(rows.select(*keys, F.lit(name).alias("slot"), "item"))
+    made = product_of_sets(reduce(DataFrame.unionByName, items), keys, list(parts))
+    out = {c: F.col(f"{name}.{name}.{c}") for name, own in chosen.items() for c in own}
+    if "has_redeemed_offer1" in out:
+        out["has_redeemed_offer1"] = F.coalesce(out["has_redeemed_offer1"], F.lit(0))
+    return made.select(*[out[c].alias(c) for c in (columns or out)])
 
 
 def journey_master(
-    t: JourneyTables, as_of: date, touches: Callable[[DataFrame], DataFrame] = journey_touches
+    t: JourneyTables,
+    as_of: date,
+    touches: Callable[[DataFrame], DataFrame] = journey_touches,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The full member table: every distinct combination of a member's parts."""
-    parts = journey_parts(t, as_of, touches)
-    rows = parts["members"].join(parts["offer1"], MEMBER, "left")
-    rows = rows.withColumn("has_redeemed_offer1", F.coalesce("has_redeemed_offer1", F.lit(0)))
-    rows = _attach(rows, parts["offer2"], "offer_3_3_variants")
-    return _attach(rows, parts["offer3"], "offer_4_3_variants")
+    """The full member table, or some of its columns: every distinct combination of a member's parts."""
+    return combine_parts(journey_parts(t, as_of, touches), columns)

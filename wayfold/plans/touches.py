@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.rules import any_of, classify_like
 from wayfold.operators.ordered import first_rows
+from wayfold.operators.products import product_of_sets
 
 # Send-name patterns and the touch each one stands for, in order.
 TOUCH_LABELS: list[tuple[str, str]] = [
@@ -123,30 +124,26 @@ def touch_columns(
 ) -> DataFrame:
     """Every combination of a subscriber's sends, one per touch, as wide columns.
 
-    Equal to left-joining the sends once per touch, in one scan: the distinct
-    sends of each touch are gathered per subscriber and unfolded side by side.
+    Equal to left-joining the sends once per touch: the distinct sends of each touch are the sets of
+    a product, which is dealt over all tasks however many sends a subscriber has.
     ``extra`` adds named expressions to a touch's columns.
     """
     extra = extra or {}
     name, when = F.col("emailname"), F.col("senttime")
-    gathered = []
-    for rule in rules:
-        fields = [F.col(source).alias(suffix) for suffix, source in TOUCH_COLUMNS.items()]
-        if rule.touch in extra:
-            label, expression = extra[rule.touch]
-            fields.append(expression.alias(label))
-        gathered.append(
-            F.collect_set(F.when(rule.matches(name, when), F.struct(*fields))).alias(f"s_{rule.touch}")
-        )
-    out = sends.where(F.col("subscriberid").isNotNull()).groupBy("subscriberid").agg(*gathered)
-    # One statement for all touches: the plan is analysed once.
-    columns, views = ["subscriberid"], []
+    sources = list(dict.fromkeys(TOUCH_COLUMNS.values()))
+    matched = F.array_compact(F.array(*[F.when(rule.matches(name, when), F.lit(rule.touch)) for rule in rules]))
+    placed = sends.where(F.col("subscriberid").isNotNull()).select(
+        "subscriberid", *dict.fromkeys(["emailname", *sources]), F.explode_outer(matched).alias("slot")
+    )
+    fields = [F.col(source).alias(suffix) for suffix, source in TOUCH_COLUMNS.items()]
+    fields += [F.when(F.col("slot") == touch, value).alias(label) for touch, (label, value) in extra.items()]
+    items = placed.select("subscriberid", "slot", F.when(F.col("slot").isNotNull(), F.struct(*fields)).alias("item"))
+    columns = []
     for rule in rules:
-        views.append(f"LATERAL VIEW OUTER explode(s_{rule.touch}) AS t_{rule.touch}")
-        columns += [f"t_{rule.touch}.`{suffix}` AS `tch_{rule.touch}_{suffix}`" for suffix in TOUCH_COLUMNS]
+        columns += [F.col(f"{rule.touch}.{suffix}").alias(f"tch_{rule.touch}_{suffix}") for suffix in TOUCH_COLUMNS]
         if rule.touch in extra:
-            columns.append(f"t_{rule.touch}.`{extra[rule.touch][0]}`")
-    return sends.sparkSession.sql(f"SELECT {', '.join(columns)} FROM {{gathered}} {' '.join(views)}", gathered=out)
+            columns.append(F.col(f"{rule.touch}.{extra[rule.touch][0]}"))
+    return product_of_sets(items, ["subscriberid"], [rule.touch for rule in rules]).select("subscriberid", *columns)
 
 
 def touch_pivot(
