@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.storage import cut
@@ -22,8 +22,8 @@ BLOCK = 256
 ROWS = 4096
 
 
-def _times(values: Column) -> Column:
-    return F.aggregate(values, F.lit(1).cast("long"), lambda a, x: a * x)
+def _times(values: str) -> str:
+    return f"aggregate({values}, 1L, (a, x) -> a * x)"
 
 
 def product_of_sets(
@@ -41,17 +41,15 @@ def product_of_sets(
     """
     keys, n_slots = list(keys), len(slots)
     items = cut(items.select(*keys, "slot", "item").distinct(), "set-items")
-    place = lambda c: F.coalesce(F.nullif(F.array_position(F.lit(list(slots)), c), F.lit(0)), F.lit(0)).cast("int")
     sizes = items.groupBy(*keys).agg(F.array(*[F.count_if(F.col("slot") == s) for s in slots]).alias("sizes"))
-    ceil = lambda a, b: F.greatest(F.lit(1).cast("long"), F.ceil(a / b))
-    shaped = sizes.withColumn("blocks", F.transform("sizes", lambda n: ceil(n, F.lit(block)))).withColumn(
-        "filled", F.zip_with("sizes", "blocks", ceil)
+    shaped = sizes.withColumn("blocks", F.expr(f"transform(sizes, n -> greatest(1L, ceil(n / {block})))")).withColumn(
+        "filled", F.expr("zip_with(sizes, blocks, (n, b) -> ceil(n / b))")
     )
     # Only keys with more than one unit of work are told apart; all others are one row each.
     large = cut(
         shaped.select(
-            *[F.col(k).alias(f"__{k}") for k in keys], "sizes", "blocks", _times(F.col("blocks")).alias("units"),
-            ceil(_times(F.col("filled")), F.lit(rows)).alias("ranges"),
+            *[F.col(k).alias(f"__{k}") for k in keys], "sizes", "blocks", F.expr(_times("blocks")).alias("units"),
+            F.expr(f"ceil({_times('transform(filled, n -> greatest(n, 1L))')} / {rows})").alias("ranges"),
         ).where((F.col("units") > 1) | (F.col("ranges") > 1)),
         "large-keys",
     )
@@ -61,9 +59,9 @@ def product_of_sets(
         items.join(large, same, "left")
         .select(*[items[k] for k in keys], "slot", "item", "sizes", "blocks",
                 F.coalesce("units", one).alias("units"), F.coalesce("ranges", one).alias("ranges"),
-                place(F.col("slot")).alias("at"))
+                F.coalesce(F.array_position(F.lit(list(slots)), F.col("slot")), F.lit(0)).cast("int").alias("at"))
         .withColumn("own", F.when(F.col("at") > 0, F.coalesce(F.get("blocks", F.col("at") - 1), one)))
-        .withColumn("stride", F.when(F.col("at") > 1, F.coalesce(_times(F.slice("blocks", 1, F.col("at") - 1)), one)).otherwise(one))
+        .withColumn("stride", F.when(F.col("at") > 1, F.coalesce(F.expr(_times("slice(blocks, 1, at - 1)")), one)).otherwise(one))
         .withColumn("mine", F.pmod(F.xxhash64("item"), F.col("own")))
     )
     # A block takes part in every unit whose digit at its slot is its number, and in all ranges of those.
@@ -88,17 +86,17 @@ def product_of_sets(
         )
     )
     # A hash can leave a block of a set empty; a unit with such a block has no combination.
-    whole = [(F.size(h) > 0) | F.coalesce(F.get("sizes", F.lit(i)), F.lit(0).cast("long")).eqNullSafe(0) for i, h in enumerate(held)]
-    base = F.array(*[F.greatest(F.size(h), F.lit(1)).cast("long") for h in held])
+    whole = "forall(zip_with(found, coalesce(sizes, found), (f, n) -> f > 0 or n = 0), ok -> ok)"
     counted = (
-        gathered.where(reduce(lambda a, b: a & b, whole))
-        .withColumn("base", base)
-        .withColumn("strides", F.array(*[_times(F.slice("base", 1, i)) if i else one for i in range(n_slots)]))
-        .withColumn("total", _times(F.col("base")))
+        gathered.withColumn("found", F.expr(f"array({', '.join(f'cast(size({h}) as long)' for h in held)})"))
+        .where(whole)
+        .withColumn("base", F.expr("transform(found, n -> greatest(n, 1L))"))
+        .withColumn("strides", F.expr(f"transform(sequence(0, {n_slots - 1}), i -> {_times('slice(base, 1, i)')})"))
+        .withColumn("total", F.expr(_times("base")))
         .withColumn("low", F.expr("total div ranges * range + least(range, total % ranges)"))
         .withColumn("high", F.expr("low + total div ranges + if(range < total % ranges, 1, 0)"))
         .where("high > low")
         .withColumn("number", F.explode(F.sequence("low", F.col("high") - 1)))
     )
-    digit = lambda i: F.expr(f"cast(number div strides[{i}] % base[{i}] as int)")
-    return counted.select(*keys, *[F.get(h, digit(i)).alias(s) for i, (s, h) in enumerate(zip(slots, held, strict=True))])
+    at = lambda i: f"cast(number div strides[{i}] % base[{i}] as int)"
+    return counted.selectExpr(*[f"`{k}`" for k in keys], *[f"get({h}, {at(i)}) AS `{s}`" for i, (s, h) in enumerate(zip(slots, held, strict=True))])
