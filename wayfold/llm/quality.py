@@ -153,7 +153,8 @@ def _trusted_texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
     ids = cut(ids, "trusted")
     filters = cut(repeated_cells(ids.select(_digest(F.col("trusted_id")).alias("digest")), "digest", least=1), "cells")
     some = maybe_repeated(rows.withColumn("digest", _digest(F.col("id"))), "digest", filters, "maybe").where("maybe")
-    return cut(some.join(ids, F.col("id") == F.col("trusted_id")).select("text", "aside"), "known")
+    # Always the same join: the ids outgrow a broadcast, and a plan that turns with their size moves texts in a jump.
+    return cut(some.join(ids.hint("merge"), F.col("id") == F.col("trusted_id")).select("text", "aside"), "known")
 
 
 def _digest(name: Column) -> Column:
