@@ -195,6 +195,7 @@ def _verify(batches):
     for batch in batches:
         near = similarity(batch.column("left_text"), batch.column("right_text")) >= THRESHOLD
         yield batch.select(["a", "b"]).filter(pa.array(near))
+    tidy()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -236,6 +237,7 @@ def _elements(batches):
         for node, (element, weight) in zip(batch.column(0).to_pylist(), _bags_of(batch.column(1)), strict=True):
             columns = [pa.array([node] * len(element), pa.binary()), pa.array(element.view(np.int64)), pa.array(weight.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "element", "weight"])
+    tidy()
 
 
 def _hopeful(members: DataFrame, texts: DataFrame) -> DataFrame:

@@ -133,7 +133,8 @@ def _pieces(batches, path: str, length: int):
                 number += 1
         columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], names)
-    encode.forget()
+    del encode
+    _ENCODERS.clear()  # its two tokenizers would stay with the worker, which serves other stages after this one
     tidy()
 
 

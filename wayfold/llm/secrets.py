@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wayfold.llm.exact import maybe_repeated, repeated_cells
+from wayfold.llm.words import tidy
 
 RANKS = 20_000
 #: A word of the dictionary is in this share of the distinct texts, whatever their number, and in this many.
@@ -230,6 +231,8 @@ def _count_words(batches):
                 counts = Counter()
     if counts:
         yield _counted(counts)
+    del counts
+    tidy()
 
 
 def _counted(counts):
@@ -268,6 +271,7 @@ def scan(docs: DataFrame, ranks: dict[str, int] | None = None, id_col: str = "do
                 spans = secret_spans(text, ranks) if text else []
                 out.append([{"start": a, "end": b, "kind": k, "bits": guess_bits(_value(text[a:b], k), ranks)} for a, b, k in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
+        tidy()
 
     found = StructType.fromDDL("spans array<struct<start:bigint,end:bigint,kind:string,bits:double>>")
     return rows.mapInArrow(search, StructType([rows.schema[0], *found]))
@@ -288,6 +292,7 @@ def redact(docs: DataFrame, ranks: dict[str, int] | None = None, text_col: str =
             at = batch.schema.get_field_index(text_col)
             texts = [_redacted(text, ranks) if text else text for text in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        tidy()
 
     clean = docs.mapInArrow(replace, docs.schema)
     if chars_col not in docs.columns:
