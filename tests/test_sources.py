@@ -9,7 +9,7 @@ from wayfold import storage
 from wayfold.functions.text import strip_suffix
 from wayfold.plans import creative, listings
 from wayfold.sources.delimited import read_delimited, warn_skipped, write_delimited
-from wayfold.sources.images import scan_images
+from wayfold.sources.images import gray_png, scan_image_parts, scan_images, write_images
 from wayfold.sources.tables import write_clustered
 
 
@@ -59,6 +59,38 @@ def test_images(spark, tmp_path, rows):
     assert rows(scan_images(spark, str(tmp_path))) == [("one.png", 256, base64.b64encode(payload).decode())]
 
 
+def test_image_parts_and_headers(spark, tmp_path):
+    import base64
+
+    good = gray_png(bytes(range(200)), 50)
+    files = {"good.png": good, "bad.png": good[:17] + b"\x01" + good[18:], "text.png": b"no image", "gray.png": gray_png(b"x" * 51, 51)}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "empty.png").write_bytes(b"")
+    found = scan_image_parts(spark, str(tmp_path), part_bytes=30).orderBy("file_name", "part").collect()
+    for name, content in files.items():
+        parts = [r for r in found if r.file_name == name]
+        assert [r.part for r in parts] == list(range(-(-len(content) // 30)))
+        assert max(len(r.payload) for r in parts) <= 40
+        assert base64.b64decode("".join(r.payload for r in parts)) == content
+    facts = {r.file_name: (r.n_bytes, r.width, r.height, r.intact) for r in found}
+    assert facts["good.png"] == (len(good), 50, 4, True)
+    assert facts["bad.png"][3] is False
+    assert facts["text.png"] == (8, None, None, None) and facts["gray.png"] == (120, 51, 1, True)
+    assert "empty.png" not in facts
+    with pytest.raises(ValueError, match="multiple of three"):
+        scan_image_parts(spark, str(tmp_path), part_bytes=10)
+
+
+def test_written_images_are_read_back(spark, tmp_path, rows):
+    names = [f"image {k}%.png" for k in range(20)]
+    df = spark.createDataFrame([(n, bytearray(n.encode())) for n in names], "file_name string, pixels binary").repartition(4)
+    told = rows(write_images(df, str(tmp_path / "out")))
+    found = scan_images(spark, str(tmp_path / "out"))
+    assert rows(found, "file_name", "n_bytes") == told and len(told) == 20
+    assert rows(write_images(df, str(tmp_path / "out"))) == told  # a task that runs again
+
+
 def test_cut_reads_back(spark, rows):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     back = storage.cut(df)

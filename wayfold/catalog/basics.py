@@ -17,9 +17,9 @@ from wayfold.operators.quantiles import bounds, medians_by
 from wayfold.plans import journey, offers, touches
 from wayfold.sources.delimited import read_delimited, write_delimited
 from wayfold.sources.fitted import load_fitted_tables, save_fitted_tables
-from wayfold.sources.images import scan_images
+from wayfold.sources.images import scan_image_parts, write_images
 from wayfold.sources.tables import publish_copy, replace_table_as, scan, write_clustered
-from wayfold.storage import scratch_path
+from wayfold.storage import cut, scratch_path
 
 
 def _work_name(t: Inputs, name: str) -> str:
@@ -66,11 +66,31 @@ def read_dimension(t: Inputs) -> DataFrame:
     return named.join(lookup, F.col("n_name") == F.col("branch")).select("c_custkey", "region")
 
 
-@query("scan_images")
+# A one-row grey image stored without compression: 8 bytes of signature, 25 of header, 12 around the data, 2 + 5 + 4 around the
+# stored block, one byte before the row, 12 of the end chunk.
+_IMAGE_FRAME = 8 + 25 + 12 + 2 + 5 + 4 + 1 + 12
+_PIXELS_AT = 8 + 25 + 8 + 2 + 5 + 1 + 1
+
+
+@query("scan_images", f"""SELECT printf('supplier-%08d.png', s_suppkey) AS file_name, strlen(s_name) + {_IMAGE_FRAME} AS n_bytes,
+    strlen(s_name) AS width, CAST(1 AS BIGINT) AS height, TRUE AS intact,
+    CAST((strlen(s_name) + {_IMAGE_FRAME} + 2) // 3 * 4 AS BIGINT) AS payload_length,
+    to_base64(encode(s_name)) AS pixels FROM supplier WHERE s_name <> ''""")
 def scan_images_query(t: Inputs) -> DataFrame:
-    return scan_images(t.spark, t.folder, "*.parquet").select(
-        "file_name", "n_bytes", F.length("payload").alias("payload_length")
+    folder = scratch_path(t.spark, "images")
+    drawn = t.supplier.where("s_name <> ''").select(
+        F.format_string("supplier-%08d.png", "s_suppkey").alias("file_name"), F.encode("s_name", "UTF-8").alias("pixels")
     )
+    cut(write_images(drawn, folder), "drawn")
+    parts = scan_image_parts(t.spark, folder, part_bytes=30)
+    whole = parts.groupBy("file_name", "n_bytes", "width", "height", "intact").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "payload"))), lambda p: p["payload"]), "").alias("payload")
+    )
+    pixels = F.substring(F.unbase64("payload"), F.lit(_PIXELS_AT), F.col("width").cast("int"))
+    return whole.select(
+        "file_name", "n_bytes", "width", "height", "intact", F.length("payload").cast("long").alias("payload_length"),
+        F.regexp_replace(F.base64(pixels), "\\s", "").alias("pixels"),
+    )
 
 
 @query("load_fitted_tables", twin("""

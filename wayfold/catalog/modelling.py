@@ -165,8 +165,13 @@ def stratified_split(t: Inputs) -> DataFrame:
 
 # --- selection and metrics -------------------------------------------------
 
-# Two features that repeat others, so that the filter has something to reject.
-REPEATS = {"balance_size": "coalesce(balance, 0) + size_score * 20", "late_value": "home_value * 3 + tax * 900"}
+# Features that go with the label, so that some pass the documented threshold, and others that repeat features, so
+# that the filter has something to reject.
+REPEATS = {
+    "interest": "score + won * 0.2", "reach": "quantity / 50 + won * 0.1", "dues": "tax * 10 + won * 0.2",
+    "interest_again": "score + won * 0.2 + tax", "late_value": "home_value * 3 + tax * 900",
+    "balance_size": "coalesce(balance, 0) + size_score * 20",
+}
 SELECTABLE = (*FEATURES, *REPEATS)
 _WIDE = "SELECT *, " + ", ".join(f"{sql} AS {name}" for name, sql in REPEATS.items()) + " FROM conversion"
 _PAIRS = [(a, b) for a in (*SELECTABLE, "won") for b in (*SELECTABLE, "won") if a != b]
@@ -179,13 +184,13 @@ _R_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b}))
         SELECT CAST(1 AS BIGINT) AS i, [feature] AS kept FROM ranked WHERE i = 1
         UNION ALL
         SELECT c.i, CASE WHEN EXISTS (SELECT 1 FROM r JOIN ranked k ON r.b = k.feature
-                WHERE r.a = c.feature AND list_contains(s.kept, k.feature) AND (r.r >= 0.7 OR k.strength <= 0.0))
+                WHERE r.a = c.feature AND list_contains(s.kept, k.feature) AND (r.r >= 0.7 OR k.strength <= 0.05))
             THEN s.kept ELSE list_append(s.kept, c.feature) END
         FROM step s JOIN ranked c ON c.i = s.i + 1)
     SELECT unnest(kept) AS feature FROM step WHERE i = (SELECT max(i) FROM ranked)""")
 def mrmr_select(t: Inputs) -> DataFrame:
     rows = t.stored("conversion", *FEATURES, "won").withColumns({name: F.expr(sql) for name, sql in REPEATS.items()})
-    kept = conversion.select_features(rows, "won", list(SELECTABLE), 0.0, 0.7)
+    kept = conversion.select_features(rows, "won", list(SELECTABLE), 0.05, 0.7)
     return t.spark.createDataFrame([(f,) for f in kept], "feature string")
 
 

@@ -11,10 +11,11 @@ from wayfold.catalog.registry import query, rounded
 from wayfold.functions import dates, text
 from wayfold.functions.rules import map_values
 from wayfold.operators.aggregates import event_rollup
-from wayfold.operators.encode import DWELLING_UNITS, YES_NO, fit_levels, one_hot_drop_first, ordinal_encode
+from wayfold.operators.encode import DWELLING_UNITS, YES_NO, fit_levels, number_levels, one_hot_drop_first, one_hot_sparse, ordinal_join
 from wayfold.operators.outliers import bounds_as_dict, clip_to_bounds
 from wayfold.operators.quantiles import bounds
 from wayfold.operators.sampling import split_fraction
+from wayfold.storage import cut
 
 ORDER_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
@@ -132,7 +133,22 @@ def one_hot(t: Inputs) -> DataFrame:
     ON c.dwelling_type = d.v""", "conversion"))
 def ordinal(t: Inputs) -> DataFrame:
     rows = t.conversion.select("opportunityid", "dwelling_type")
-    return ordinal_encode(rows, fit_levels(rows, ["dwelling_type"]))
+    return ordinal_join(rows, {"dwelling_type": number_levels(rows, "dwelling_type")})
+
+
+@query("one_hot_sparse", twin("""SELECT opportunityid, CAST(greatest((SELECT count(DISTINCT l) FROM named) - 1, 0) AS INT) AS size,
+    CAST(CASE WHEN d.i > 0 THEN d.i - 1 END AS INT) AS at, CASE WHEN d.i > 0 THEN 1.0E0 END AS value
+    FROM named LEFT JOIN (SELECT l AS v, row_number() OVER (ORDER BY l) - 1 AS i FROM (SELECT DISTINCT l FROM named
+        WHERE l IS NOT NULL) x) d ON l = d.v""", "conversion",
+    named="SELECT opportunityid, concat(dwelling_type, '/', market, '/', CAST(zip AS STRING)) AS l FROM conversion "
+    "WHERE dwelling_type IS NOT NULL"))
+def one_hot_of_many(t: Inputs) -> DataFrame:
+    level = F.concat("dwelling_type", F.lit("/"), "market", F.lit("/"), F.col("zip").cast("string"))
+    rows = cut(t.conversion.where("dwelling_type IS NOT NULL").select("opportunityid", level.alias("level")), "named")
+    hot = F.col("level_hot")
+    return one_hot_sparse(rows, {"level": number_levels(rows, "level")}).select(
+        "opportunityid", hot["size"].alias("size"), F.get(hot["indices"], 0).alias("at"), F.get(hot["values"], 0).alias("value")
+    )
 
 
 _TRAIN = "substr(md5(concat('2', opportunityid)), 1, 8) < 'cccccccc'"
