@@ -173,6 +173,25 @@ def test_listing_defaults(spark):
     ]
 
 
+def test_nested_blocks():
+    card, box = '<div class="card">', "<div>"
+    page = f"a{card}1{box}2</div>{card}3</div></div>b<DIV class='card'/>{box}{card}4</div></div></div>{card}5{box}6"
+    found = listings.blocks_of(page, "div", 'class="card"')
+    assert found == [f"{card}1{box}2</div>{card}3</div></div>", f"{card}3</div>", f"{card}4</div>", f"{card}5{box}6"]
+    assert listings.blocks_of("", "div", "x") == [] and listings.blocks_of("</div>" * 3, "div", "") == []
+    assert listings.blocks_of("<divider>x</divider>", "div", "") == []
+
+
+def test_fields_come_from_their_own_block(spark):
+    fields = [listings.PageField("name", "<a>([^<]*)</a>", "Null"), listings.PageField("rating", "<i>([^<]*)</i>", "0")]
+    inner = '<div class="card"><a>In</a></div>'
+    html = f'<div class="card"><div><a>Out</a></div><i>5</i>{inner}</div><div class="card"></div>'
+    df = spark.createDataFrame([("here", html), ("there", None)], "location string, html string")
+    blocks = listings.nested_blocks(F.col("html"), "div", "card")
+    out = listings.extract_listings(df, "html", blocks, fields).orderBy("position").collect()
+    assert [tuple(r) for r in out] == [("here", 0, "Out", "5"), ("here", 1, "In", "0"), ("here", 2, "Null", "0")]
+
+
 def test_search_requests(spark):
     df = spark.createDataFrame([("New York",)], "zip string")
     url = lambda route: listings.search_requests(

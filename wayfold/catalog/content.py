@@ -92,7 +92,7 @@ def _field_sql(source: str, pattern: str, default: str, how: str = "text") -> st
     return f"coalesce(nullif(trim({found}), ''), '{default}')"
 
 
-@query("listing_extract", f"""SELECT page_id, url, CAST(position - 1 AS INT) AS position,
+@query("listing_extract_flat", f"""SELECT page_id, url, CAST(position - 1 AS INT) AS position,
     {_field_sql("block", "<a [^>]*>([^<]*)</a>", "Null")} AS name,
     {_field_sql("html", "(?s)<h1[^>]*>([^<]*)</h1>", "Unknown")} AS address,
     {_field_sql("html", 'lang="([^"]*)"', "0", "first_token")} AS rating,
@@ -100,10 +100,60 @@ def _field_sql(source: str, pattern: str, default: str, how: str = "text") -> st
     {_field_sql("html", "(?s)<p>([^<]*)", "None", "before_dots")} AS feedback
     FROM (SELECT page_id, url, html, unnest(regexp_extract_all(html, '{_BLOCK}')) AS block,
         generate_subscripts(regexp_extract_all(html, '{_BLOCK}'), 1) AS position FROM pages) p""")
-def listing_extract(t: Inputs) -> DataFrame:
+def listing_extract_flat(t: Inputs) -> DataFrame:
     return listings.extract_listings(t.pages.select("page_id", "url", "html"), "html", _BLOCK, _FIELDS)
 
 
+# Result pages of at most 100 suppliers of a nation. A card holds boxes of its own element and, for some suppliers, a
+# second card; every field is missing in some cards.
+_CARD_FIELDS = [
+    listings.PageField("name", '<a class="name">([^<]*)</a>', listings.LISTING_DEFAULTS["name"]),
+    listings.PageField("address", '<span class="address">([^<]*)</span>', listings.LISTING_DEFAULTS["address"]),
+    listings.PageField("rating", '<div class="stars" aria-label="([^"]*)"', listings.LISTING_DEFAULTS["rating"], "first_token"),
+    listings.PageField("review_count", '<span class="count">([^<]*)</span>', listings.LISTING_DEFAULTS["review_count"]),
+    listings.PageField("feedback", "<p>([^<]*)</p>", listings.LISTING_DEFAULTS["feedback"], "before_dots"),
+]
+
+
+def result_pages(t: Inputs) -> DataFrame:
+    """(location, page, html): stored result pages of the suppliers."""
+    key = F.col("s_suppkey")
+    unless = lambda n, *parts: F.when(key % n != 0, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
+    card = F.concat_ws(
+        "",
+        F.lit('<div class="card"><div class="box">'),
+        unless(5, '<a class="name">', F.col("s_name"), "</a>"),
+        unless(3, '<div class="stars" aria-label="', (key % 5 + 1).cast("string"), '.5 star rating"></div>'),
+        F.lit("</div><div>"),
+        unless(4, '<span class="address"> ', F.col("n_name"), " ", key.cast("string"), "</span>"),
+        unless(6, '<span class="count">', (key % 100).cast("string"), "</span>"),
+        unless(7, "<p>Good ", F.col("s_name"), "...more</p>"),
+        F.lit("</div>"),
+        F.when(key % 8 == 0, '<div class="card"><a class="name">Annex</a></div>'),
+        F.lit("</div>"),
+    )
+    cards = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    cards = cards.select(F.col("n_name").alias("location"), F.expr("s_suppkey div 100").alias("page"), "s_suppkey", card.alias("card"))
+    ordered = F.array_sort(F.collect_list(F.struct("s_suppkey", "card")))
+    return cards.groupBy("location", "page").agg(F.array_join(F.transform(ordered, lambda x: x["card"]), "").alias("html"))
+
+
+@query("listing_extract", """SELECT location, page, CAST(row_number() OVER (PARTITION BY location, page ORDER BY s_suppkey, depth) - 1 AS INT)
+        AS position, name, address, rating, review_count, feedback FROM (
+    SELECT n_name AS location, s_suppkey // 100 AS page, s_suppkey, 0 AS depth,
+        CASE WHEN s_suppkey % 5 <> 0 THEN s_name WHEN s_suppkey % 8 = 0 THEN 'Annex' ELSE 'Null' END AS name,
+        CASE WHEN s_suppkey % 4 <> 0 THEN concat(n_name, ' ', s_suppkey) ELSE 'Unknown' END AS address,
+        CASE WHEN s_suppkey % 3 <> 0 THEN concat(s_suppkey % 5 + 1, '.5') ELSE '0' END AS rating,
+        CASE WHEN s_suppkey % 6 <> 0 THEN CAST(s_suppkey % 100 AS VARCHAR) ELSE '0' END AS review_count,
+        CASE WHEN s_suppkey % 7 <> 0 THEN concat('Good ', s_name) ELSE 'None' END AS feedback
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT n_name, s_suppkey // 100, s_suppkey, 1, 'Annex', 'Unknown', '0', '0', 'None'
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 8 = 0) c""")
+def listing_extract(t: Inputs) -> DataFrame:
+    blocks = listings.nested_blocks(F.col("html"), "div", 'class="card"')
+    return listings.extract_listings(result_pages(t), "html", blocks, _CARD_FIELDS)
+
+
 @query("search_request_plan", twin("""SELECT zip, concat('https://listings.example/search?find_desc=Burrito%20Bar&find_loc=',
     CAST(zip AS STRING), '&start=0') AS url FROM (SELECT DISTINCT zip FROM conversion) z""", "conversion"))
 def search_request_plan(t: Inputs) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,42 @@ class PageField:
 LISTING_DEFAULTS = {"name": "Null", "address": "Unknown", "rating": "0", "review_count": "0", "feedback": "None"}
 
 
-def extract_listings(df: DataFrame, html: str, block: str, fields: list[PageField]) -> DataFrame:
+def blocks_of(html: str, element: str, mark: str) -> list[str]:
+    """The elements of a name whose opening tag matches ``mark``, each whole with all it holds, in page order.
+
+    A block inside a block is in the outer one's text and stands for itself after it. A closing tag ends the
+    element opened last; elements that are never closed reach to the end of the page.
+    """
+    opened: list[tuple[int, bool]] = []
+    found = []
+    for tag in re.finditer(rf"<(/?){element}\b[^>]*>", html, re.IGNORECASE):
+        if not tag[1]:
+            if not tag[0].endswith("/>"):
+                opened.append((tag.start(), re.search(mark, tag[0]) is not None))
+        elif opened:
+            start, wanted = opened.pop()
+            if wanted:
+                found.append((start, tag.end()))
+    found += [(start, len(html)) for start, wanted in opened if wanted]
+    return [html[start:end] for start, end in sorted(found)]
+
+
+def nested_blocks(html: Column, element: str, mark: str) -> Column:
+    """``blocks_of`` for a column, in Arrow batches; none for a null page."""
+
+    @F.pandas_udf("array<string>")
+    def found(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: blocks_of(page, element, mark) if page else [])
+
+    return found(html)
+
+
+def extract_listings(df: DataFrame, html: str, block: str | Column, fields: list[PageField]) -> DataFrame:
     """One row per listing block of a page, fields with their defaults.
 
+    ``block`` is a pattern, for blocks without blocks of their kind inside, or a column of block lists such as
+    ``nested_blocks``. All other columns of the page, such as its location, come along.
+
     Fields of the page are read once per page, before its blocks become rows,
     and the page text is dropped there.
     """
@@ -50,7 +85,7 @@ def extract_listings(df: DataFrame, html: str, block: str, fields: list[PageFiel
     pages = df.select(
         *keep,
         *[f.read(F.col(html)).alias(f.name) for f in shared],
-        F.regexp_extract_all(html, F.lit(block), F.lit(0)).alias("__blocks"),
+        (block if isinstance(block, Column) else F.regexp_extract_all(html, F.lit(block), F.lit(0))).alias("__blocks"),
     )
     rows = pages.select(*keep, *[f.name for f in shared], F.posexplode("__blocks"))
     return rows.select(
