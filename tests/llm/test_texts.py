@@ -250,6 +250,26 @@ def test_values_end_and_other_words_are_no_names():
         assert secrets.secret_spans(f"{word}: Xk9#vQ2!pLz8", RANKS) == []
 
 
+def _licenses_by_sql(docs):
+    """The SQL's rows for (doc_id, _, text)."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, text) for k, _, text in docs])
+    return con.execute(licenses.twin_sql(KNOWN)).fetchall()
+
+
+def test_license_sql_on_odd_texts(spark):
+    texts = [
+        None, "", "Copyright 2020 X", "Copyright notice\nwords", "copyright , and more", "Copyright:\tholder words\nLicence & so on",
+        "x copyright Y\nz", "# COPYRIGHT X Y\n\nfulfil the programme", "copyright", "Copyright  notice", "copyright rightsX\na",
+    ]
+    docs = [(k, None, t) for k, t in enumerate(texts)] + [(50 + k, None, f"{h}{KNOWN['ISC']}") for k, h in enumerate(texts) if h]
+    frame = spark.createDataFrame([(k, t) for k, _, t in docs], "doc_id long, text string")
+    assert {tuple(r) for r in licenses.scan(frame).collect()} == set(_licenses_by_sql(docs))
+
+
 def test_published_license_files(spark):
     heads = [
         ("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n"),
@@ -270,6 +290,8 @@ def test_published_license_files(spark):
     docs.append((101, "ISC", KNOWN["ISC"].replace("THE SOFTWARE IS", "The\nsoftware is")))
     frame = spark.createDataFrame([(k, text) for k, _, text in docs], "doc_id long, text string")
     assert {r.doc_id: r.license_id for r in licenses.scan(frame).collect()} == {k: want for k, want, _ in docs}
+    told = {k: (sha, name) for k, sha, name in _licenses_by_sql(docs)}
+    assert {r.doc_id: (r.canonical_sha256, r.license_id) for r in licenses.scan(frame).collect()} == told
     known = licenses.known_licenses(spark).select("license_id", licenses.digest(licenses.F.col("text")).alias("h"), "text")
     assert known.where(licenses.nameless_digest(licenses.F.col("text"), licenses.F.col("h")) != licenses.F.col("h")).count() == 0
 

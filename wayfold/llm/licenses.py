@@ -57,10 +57,11 @@ EQUIVALENT = (
 #: Lines that name a holder or reserve rights, and marks at the start of a line.
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9<\[{])|\(c\)|©|all rights reserved)[^\n]*$"
 #: Lines that name a holder without a year, unlike a wrapped line that goes on about copyright.
-HOLDER_LINE = (
-    r"(?m)^[ \t*#/;-]*copyright[ \t]*[:,]?[ \t]+(?!(?:notices?|holders?|owners?|ownership|laws?|licen[sc]es?|acts?|and|or|in|is|are|as|to|on|of|"
-    r"for|interests?|statements?|protections?|treat(?:y|ies)|disclaimers?|information|claims?|status|rights?|permissions?)\b)[^\n]+$"
+_NO_HOLDER = (
+    r"(?:notices?|holders?|owners?|ownership|laws?|licen[sc]es?|acts?|and|or|in|is|are|as|to|on|of|"
+    r"for|interests?|statements?|protections?|treat(?:y|ies)|disclaimers?|information|claims?|status|rights?|permissions?)"
 )
+HOLDER_LINE = rf"(?m)^[ \t*#/;-]*copyright[ \t]*[:,]?[ \t]+(?!{_NO_HOLDER}\b)[^\n]+$"
 LIST_MARK = r"(?m)^[ \t]*([*#/;-]+|\(?[0-9a-z][.)])[ \t]+"
 
 
@@ -118,18 +119,33 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def twin_sql(known: dict[str, str]) -> str:
-    """The same in SQL, with the known texts as values."""
+    """The same in SQL, with the known texts, without a title and under each published one, as values."""
+    from wayfold.llm.license_texts import TITLES
+
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    form = f"regexp_replace(regexp_replace(lower(coalesce(text, '')), {quoted(COPYRIGHT_LINE)}, '', 'g'), {quoted(LIST_MARK)}, '', 'g')"
-    form = f"' ' || regexp_replace(replace({form}, '&', ' and '), '[^0-9a-z\u0080-\U0010ffff]+', '  ', 'g') || ' '"
-    form = reduce(lambda f, pair: f"replace({f}, ' {pair[0]} ', ' {pair[1]} ')", EQUIVALENT, form)
-    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in known.items())
+    rows = [(k, f"{title}\n\n{text}") for k, text in known.items() for title in ("", *TITLES.get(k, ()))]
+    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in rows)
+    # This dialect's patterns can't look ahead, so a line is a holder's when one pattern is found and another is not.
+    start = r"^[ \t*#/;-]*copyright"
+    holder = rf"regexp_matches(x, '{start}[ \t]*[:,]?[ \t]+[^\n]') AND NOT regexp_matches(x, '{start}(?:[ \t]*[:,])?[ \t]{_NO_HOLDER}\b')"
     return f"""
 WITH k AS (
   SELECT sha256(form) AS h, min(license_id) AS license_id
-  FROM (SELECT license_id, trim({form}, ' ') AS form FROM (VALUES {values}) AS t(license_id, text)) WHERE form <> '' GROUP BY 1
+  FROM (SELECT license_id, {_form_sql("text")} AS form FROM (VALUES {values}) AS t(license_id, text)) WHERE form <> '' GROUP BY 1
+), lines AS (
+  SELECT doc_id, text, array_to_string(list_transform(string_split(lower(coalesce(text, '')), chr(10)),
+      lambda x: CASE WHEN {holder} THEN '' ELSE x END), chr(10)) AS nameless FROM documents
 ), d AS (
-  SELECT doc_id, sha256(trim({form}, ' ')) AS canonical_sha256 FROM documents
+  SELECT doc_id, sha256({_form_sql("text")}) AS canonical_sha256, sha256({_form_sql("nameless")}) AS nameless_sha256 FROM lines
 )
-SELECT doc_id, canonical_sha256, license_id FROM d LEFT JOIN k ON h = canonical_sha256
+SELECT doc_id, canonical_sha256, coalesce(k.license_id, other.license_id) AS license_id
+FROM d LEFT JOIN k ON k.h = canonical_sha256 LEFT JOIN k other ON other.h = nameless_sha256
 """
+
+
+def _form_sql(text: str) -> str:
+    """``canonical`` of a column in SQL."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    form = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), {quoted(COPYRIGHT_LINE)}, '', 'g'), {quoted(LIST_MARK)}, '', 'g')"
+    form = f"' ' || regexp_replace(replace({form}, '&', ' and '), '[^0-9a-z\u0080-\U0010ffff]+', '  ', 'g') || ' '"
+    return f"trim({reduce(lambda f, pair: f"replace({f}, ' {pair[0]} ', ' {pair[1]} ')", EQUIVALENT, form)}, ' ')"
