@@ -91,6 +91,18 @@ def test_crossover_keeps_every_piece():
     assert all(sum(sizes[i] for i in items) == 2048 - child.free[b] for b, items in child.bins.items())
 
 
+@pytest.mark.parametrize(("low", "high", "n"), [(500, 800, 600), (500, 800, 2000), (300, 900, 2000)])
+def test_crossover_needs_fewer_sequences_than_best_fit(low, high, n):
+    """Sizes for which best fit, largest first, stays above the lower bound."""
+    sizes = np.random.default_rng(n).integers(low, high, n).tolist()
+    plain = packing.Packing(sizes, 2048)
+    plain.fit(sorted(range(n), key=lambda i: (-sizes[i], i)))
+    best = packing.evolve(sizes, [], 2048, 1)
+    assert sorted(i for items in best.bins.values() for i in items) == list(range(n))
+    assert all(sum(sizes[i] for i in items) <= 2048 for items in best.bins.values())
+    assert -(-sum(sizes) // 2048) <= len(best.bins) < len(plain.bins)
+
+
 def digests(text):
     ids = WORD_TOKENIZER.encode(text or "", add_special_tokens=False).ids
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
