@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from wayfold.llm.words import tidy
+from wayfold.llm.words import KEPT, tidy
 from wayfold.storage import cut
 
 LENGTH = 2048
@@ -35,8 +35,8 @@ ISLAND = 4000
 SLACK = 1
 POPULATION = 4
 GENERATIONS = 6
-#: Bytes of parts and ids that an encoder remembers within a task.
-CACHE = 1 << 24
+#: Bytes of parts and ids that an encoder remembers.
+CACHE = 1 << 25
 CLOSING = b"\0\0\0\0"
 
 # Fixed value: the splitting pattern of the byte-level vocabulary.
@@ -48,7 +48,7 @@ class Encoder:
 
     A text without two neighbouring white-space characters splits into independent parts before each
     space and each line break. Parts are encoded once and remembered, up to ``CACHE`` bytes of
-    them, until the task ends. Parts of Latin letters go through the faster of two libraries, which has the same
+    them, while tasks of this stage follow each other. Parts of Latin letters go through the faster of two libraries, which has the same
     merges; any other text is left to the tokenizer itself.
     """
 
@@ -133,9 +133,8 @@ def _pieces(batches, path: str, length: int):
                 number += 1
         columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], names)
-    del encode
-    _ENCODERS.clear()  # its two tokenizers would stay with the worker, which serves other stages after this one
-    tidy()
+    KEPT["packing"] = _ENCODERS.clear  # the next task goes on with the parts; other stages don't need them
+    tidy("packing")
 
 
 class Packing:

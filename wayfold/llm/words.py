@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C55
 _MASK = (1 << 64) - 1
 _POWERS: dict[str, np.ndarray] = {}
+#: What a worker keeps from task to task, by owner: how to drop it when a task of another owner ends.
+KEPT: dict[str, Callable[[], None]] = {}
 
 #: Bytes that end a word: space and the control characters 9 to 13.
 BLANK = np.zeros(256, bool)
@@ -50,8 +52,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tidy() -> None:
-    """Give memory that a task no longer needs back to the machine: a Python worker outlives its task."""
+def tidy(owner: str = "") -> None:
+    """Give memory that a task no longer needs back to the machine: a Python worker outlives its task.
+
+    What ``owner`` keeps for its next task stays, until a task of another owner ends in this worker.
+    """
+    for name in [n for n in KEPT if n != owner]:
+        KEPT.pop(name)()
     for key in [k for k, v in _POWERS.items() if len(v) > SLICE + 1]:  # grown for one very long word
         del _POWERS[key]
     gc.collect()
