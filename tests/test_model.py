@@ -143,3 +143,14 @@ def test_training_rows_are_dealt_to_more_tasks_where_there_are_many(spark, small
     rows = modelling._training_rows(inputs)
     assert rows.count() == inputs.lineitem.count()
     assert len(rows.inputFiles()) > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_fitted_tables_join_their_rows_once(spark, monkeypatch):
+    from __spark_entry__ import SMALL, queries
+    from wayfold.catalog.proxies import Inputs
+
+    asked, stored = [], Inputs.stored
+    monkeypatch.setattr(Inputs, "stored", lambda self, name, *columns: asked.append((name, *columns)) or stored(self, name, *columns))
+    found = queries()["load_fitted_tables"](spark, SMALL)
+    assert asked == [("conversion", "zip", "balance", "home_value")]
+    assert {r["kind"] for r in found.collect()} == {"zip", "bounds"}

@@ -100,7 +100,7 @@ def scan_images_query(t: Inputs) -> DataFrame:
     FROM conversion""", "conversion"))
 def load_fitted_tables_query(t: Inputs) -> DataFrame:
     folder = scratch_path(t.spark, "fitted")
-    rows = t.conversion.select("zip", "balance", "home_value")
+    rows = t.stored("conversion", "zip", "balance", "home_value")
     save_fitted_tables(
         {"zips": medians_by(rows, ["zip"], ["balance", "home_value"]), "bounds": bounds(rows, ["balance"])}, folder
     )
