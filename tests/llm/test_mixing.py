@@ -81,6 +81,13 @@ def test_times_follow_the_curves(spark):
     assert share["c"] == pytest.approx(3 / 8, abs=0.01)
 
 
+def test_the_mix_comes_in_the_order_of_training(spark):
+    frame = spark.createDataFrame(corpus(3), "doc_id long, text string, source string").repartition(4)
+    got = [r["position"] for r in mixing.mix(frame, cell_rows=16).collect()]
+    known = [p for p in got if p is not None]
+    assert len(known) > 100 and got == sorted(known) + [None] * (len(got) - len(known))
+
+
 def test_empty_table_and_tables_without_words(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty).count() == 0

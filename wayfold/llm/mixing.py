@@ -100,6 +100,7 @@ def mix(
 ) -> DataFrame:
     """Per document: doc_id, size, source, source_size, target, taken, and the time of each of its copies.
 
+    The rows are range-sorted by the time at which training first asks for them; those never taken are last.
     ``position`` is the time of the first copy and ``again`` that of the second, null where the copy is not taken.
     A curve is the weight at the beginning and at the end of training; the two are scaled to add up to 2, which makes
     their integral 1. ``most`` is at most 2.
@@ -127,11 +128,12 @@ def mix(
     overlap = lambda at: F.greatest(F.lit(0), F.least(at + F.col("size"), whole) - at)
     second = first + F.col("source_size")
     when = lambda at: F.when(overlap(at) > 0, _time(at.cast("double"), F.col("target"), start, end))
-    return joined.select(
+    timed = joined.select(
         "doc_id", "size", "source", "source_size", "target",
         (overlap(first) + overlap(second)).cast("long").alias("taken"),
         when(first).alias("position"), when(second).alias("again"),
     )
+    return timed.orderBy(F.col("position").asc_nulls_last(), "source", "doc_id", "size", "again")
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
