@@ -122,27 +122,18 @@ def test_queries_train_with_the_documented_settings(spark, monkeypatch, name):
     assert told.value.args[0] == [model.ELIMINATION if name.startswith("rfe") else model.TreeSettings()]
 
 
-@pytest.fixture
-def small_tasks(spark):
-    """Settings under which rows of the smallest tables are many."""
-    names = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
-    before = {k: spark.conf.get(k) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    yield
-    for k, v in before.items():
-        spark.conf.set(k, v)
-
-
-def test_training_rows_are_dealt_to_more_tasks_where_there_are_many(spark, small_tasks):
+def test_training_rows_are_dealt_to_more_tasks_where_there_are_many(spark, monkeypatch):
     from __spark_entry__ import SMALL
     from wayfold.catalog import modelling
     from wayfold.catalog.proxies import Inputs
 
-    inputs = Inputs(spark, SMALL)
-    rows = modelling._training_rows(inputs)
-    assert rows.count() == inputs.lineitem.count()
-    assert len(rows.inputFiles()) > 2 * spark.sparkContext.defaultParallelism
+    inputs, cores = Inputs(spark, SMALL), spark.sparkContext.defaultParallelism
+    n = inputs.lineitem.count()
+    few = modelling._training_rows(inputs)
+    assert few.count() == n and len(few.inputFiles()) == cores
+    monkeypatch.setattr(modelling, "TASK_ROWS", n // (3 * cores))
+    many = modelling._training_rows(inputs)
+    assert many.count() == n and len(many.inputFiles()) >= 3 * cores
 
 
 def test_fitted_tables_join_their_rows_once(spark, monkeypatch):
