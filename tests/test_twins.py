@@ -19,7 +19,7 @@ def con():
 
 def test_every_twin_has_a_query():
     assert set(ALL_TWINS) <= set(ALL)
-    assert len(QUERIES) == 135
+    assert len(QUERIES) == 137
     assert set(QUERIES) <= set(ALL)
 
 
