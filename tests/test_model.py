@@ -89,6 +89,24 @@ def test_preparation(rows_of, spark, use_all_rows):
     assert model.metrics(model.with_probability(fitted, ready.validation), "won", "v").first()["auc"] > 0.8
 
 
+def test_prepared_rows_are_stored_once(rows_of, spark, monkeypatch):
+    """Test and validation rows are stored whole when filled from the zip table, scored ones with what the model reads."""
+    from wayfold.plans import scoring
+
+    stored, cut = [], conversion.cut
+    monkeypatch.setattr(conversion, "cut", lambda df, label="cut": stored.append((label, df.columns, df.count())) or cut(df, label))
+    ready = conversion.prepare(rows_of, COLUMNS, us_holidays(spark, 2024, 2024), target_threshold=0.0, mutual=0.6)
+    whole = [(set(columns) - {"__all"}, n) for label, columns, n in stored if label == "zipfill"]
+    assert whole == [(set(x.columns), x.count()) for x in (ready.test, ready.validation)]
+    assert not {"test", "validation"} & {label for label, *_ in stored}
+    fitted = model.train_gbt(ready.train, ["good"], ["ability_part"], "won", FAST)
+    stored.clear()
+    first, last = date(2024, 1, 10), date(2024, 1, 20)
+    scored = scoring.score_fitted(rows_of, COLUMNS, ready.fit, ready.tables, fitted, ["key", "zip"], first, last)
+    assert scored.count() == rows_of.where(F.col("day").between(first, last)).count()
+    assert [columns for *_, columns, _ in stored] == [["key", "zip", "market", "good", "ability_part", "__all"]]
+
+
 def test_default_settings():
     main, second = model.TreeSettings(), model.ELIMINATION
     assert (main.depth, main.rounds, main.rate, main.row_sample, main.column_sample, main.min_rows) == (

@@ -49,11 +49,14 @@ def score_fitted(
 
     Rows pass through the steps of training: typed columns, zip values, holiday flag, 0/1 columns, zip
     fill with the batch's own markets behind it, and the fitted bounds. The holidays are those of the
-    batch's years.
+    batch's years. Columns are filled independently of each other, so only those that the model reads
+    are stored on the way.
     """
     chosen = rows.where(F.col(c.day).cast("date").between(F.lit(first), F.lit(last)))
     built = apply_features(encode_columns(chosen, c), c, fit, holidays_of(chosen, c.day))
+    built = built.select(*dict.fromkeys([*ids, c.zip, c.market, *model.features]))
     limits = bounds_as_dict(tables["bounds"]) if "bounds" in tables else {}
+    limits = {x: limit for x, limit in limits.items() if x in built.columns}
     filled = clip_to_bounds(apply_fill(built, c, tables["fill"]), limits)
     return with_probability(model, filled, name).select(*ids, name)
 
