@@ -1,6 +1,7 @@
 """Training, scoring, elimination and the whole preparation on small frames."""
 
 import random
+from dataclasses import replace
 from datetime import date, timedelta
 
 import pytest
@@ -107,6 +108,20 @@ def test_prepared_rows_are_stored_once(rows_of, spark, monkeypatch):
     assert [columns for *_, columns, _ in stored] == [["key", "zip", "market", "good", "ability_part", "__all"]]
 
 
+def test_columns_that_no_step_reads_are_not_stored(rows_of, spark, monkeypatch):
+    """Ignored columns go before the rows are stored; amount and state, once the features are filled."""
+    stored, cut = {}, conversion.cut
+    monkeypatch.setattr(conversion, "cut", lambda df, label="cut": stored.setdefault(label, df.columns) and cut(df, label))
+    wide = rows_of.withColumn("unread", F.lit(1))
+    chosen = replace(COLUMNS, ignore=(*COLUMNS.ignore, "unread"))
+    ready = conversion.prepare(wide, chosen, us_holidays(spark, 2024, 2024), target_threshold=0.0, mutual=0.6)
+    assert {"amount", "state", "__split"} <= set(stored["balanced"]) and not {"code", "unread"} & set(stored["balanced"])
+    gone = {"amount", "state", "code", "unread", "avg_zip_amount", "__split"}
+    for frame in (ready.train, ready.test, ready.validation):
+        assert not gone & set(frame.columns) and {"key", "won", "zip", "day", "market", *ready.numeric, *ready.categorical} <= set(frame.columns)
+    assert stored["imputed"] == ready.train.columns
+
+
 def test_default_settings():
     main, second = model.TreeSettings(), model.ELIMINATION
     assert (main.depth, main.rounds, main.rate, main.row_sample, main.column_sample, main.min_rows) == (
