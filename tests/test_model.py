@@ -122,6 +122,41 @@ def test_columns_that_no_step_reads_are_not_stored(rows_of, spark, monkeypatch):
     assert stored["imputed"] == ready.train.columns
 
 
+def test_marked_rows_are_not_hashed_again(rows_of, spark, rows, monkeypatch):
+    """Marks stored with the rows give the same frames as their hashes; the split and the sample then compute none."""
+    from wayfold.storage import cut
+
+    # Keys repeat and are missing.
+    odd = rows_of.withColumn("key", F.when(F.col("noise") > 0.05, F.substring("key", 1, 4)))
+    made = []
+    for frame in (cut(odd), cut(conversion.marked(odd, COLUMNS))):
+        plans, write = {}, conversion.cut
+        with monkeypatch.context() as m:
+            m.setattr(conversion, "cut", lambda df, label="cut", p=plans, w=write: p.setdefault(label, []).append(df) or w(df, label))
+            made.append((conversion.prepare(frame, COLUMNS, us_holidays(spark, 2024, 2024), 1.0, False, 0.0, 0.6), plans))
+    (plain, hashed), (marked, plans) = made
+    for name in ("train", "test", "validation"):
+        one, other = getattr(plain, name), getattr(marked, name)
+        assert one.columns == other.columns and rows(one) == rows(other) and not one.isEmpty()
+    assert (plain.numeric, plain.categorical, plain.fit.levels) == (marked.numeric, marked.categorical, marked.fit.levels)
+    assert {t: rows(x) for t, x in plain.tables.items()} == {t: rows(x) for t, x in marked.tables.items()}
+    # Validation rows are stored last.
+    assert ["md5" in p["zipfill"][-1]._jdf.queryExecution().optimizedPlan().toString() for p in (hashed, plans)] == [True, False]
+    assert conversion.WORKING not in plans["balanced"][0].columns
+
+
+def test_score_batch_stores_marks(spark):
+    from __spark_entry__ import SMALL
+    from wayfold.catalog import modelling
+    from wayfold.catalog.proxies import Inputs
+
+    stored = modelling._read_rows(Inputs(spark, SMALL))
+    assert {conversion.WORKING, conversion.BALANCE} <= set(stored.columns)
+    train = stored.where(modelling.TRAIN).select("opportunityid")
+    assert train.exceptAll(stored.where(conversion.WORKING).select("opportunityid")).isEmpty()
+    assert train.count() == stored.where(conversion.WORKING).count()
+
+
 def test_default_settings():
     main, second = model.TreeSettings(), model.ELIMINATION
     assert (main.depth, main.rounds, main.rate, main.row_sample, main.column_sample, main.min_rows) == (
