@@ -213,3 +213,26 @@ def test_fitted_tables_join_their_rows_once(spark, monkeypatch):
     found = queries()["load_fitted_tables"](spark, SMALL)
     assert asked == [("conversion", "zip", "balance", "home_value")]
     assert {r["kind"] for r in found.collect()} == {"zip", "bounds"}
+
+
+@pytest.mark.parametrize("name", ["train_gbt", "conversion_train_eval", "feature_importance", "rfe_rank", "rfe_sweep"])
+def test_queries_fit_all_their_rows(spark, monkeypatch, name):
+    """No fit of a query leaves rows out, however many there are for its parts."""
+    from __spark_entry__ import SMALL, queries
+
+    class Stop(Exception):
+        pass
+
+    seen, fit = [], model.fit_models
+
+    def few(df, models, label, settings):
+        fitted = fit(df, models, label, model.TreeSettings(depth=2, rounds=2), part_rows=64)
+        seen.append((df.where(f"{label} IS NOT NULL").count(), [m.table.agg(F.sum("rows")).first()[0] for m in fitted]))
+        if len(seen) == (4 if name == "rfe_sweep" else 3 if name == "rfe_rank" else 1):
+            raise Stop
+        return fitted
+
+    monkeypatch.setattr(model, "fit_models", few)
+    with pytest.raises(Stop):
+        queries()[name](spark, SMALL)
+    assert all(rows > 8 * 64 and found == [rows] * len(found) for rows, found in seen)
