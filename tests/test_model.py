@@ -236,3 +236,73 @@ def test_queries_fit_all_their_rows(spark, monkeypatch, name):
     with pytest.raises(Stop):
         queries()[name](spark, SMALL)
     assert all(rows > 8 * 64 and found == [rows] * len(found) for rows, found in seen)
+
+
+@pytest.mark.parametrize(
+    ("name", "others"), [("train_gbt", set()), ("save_load_model", {"opportunityid"}), ("feature_importance", set()), ("rfe_rank", set()), ("rfe_sweep", {"working"})]
+)
+def test_training_rows_are_stored_once_with_the_columns_read(spark, monkeypatch, name, others):
+    from __spark_entry__ import SMALL, queries
+    from wayfold.catalog import modelling
+
+    class Stop(Exception):
+        pass
+
+    def stop(df, *args, **named):
+        raise Stop
+
+    stored, cut = {}, modelling.cut
+    monkeypatch.setattr(modelling, "cut", lambda df, label="cut", **named: stored.setdefault(label, cut(df, label, **named)))
+    monkeypatch.setattr(model, "train_gbt", stop)
+    with pytest.raises(Stop):
+        queries()[name](spark, SMALL)
+    read = modelling.CANDIDATES if name.startswith("rfe") else [*modelling.NUMERIC, *modelling.CATEGORICAL]
+    assert list(stored) == ["joined", "training"] and set(stored["training"].columns) == {*read, "won", *others}
+    if name == "rfe_sweep":
+        from wayfold.catalog.proxies import Inputs
+        from wayfold.operators import sampling
+
+        rows = Inputs(spark, SMALL).conversion.select("opportunityid")
+        parts = sampling.split_fraction(stored["training"], "opportunityid", 0.8, "2", "working")
+        assert [x.count() for x in parts] == [x.count() for x in sampling.split_fraction(rows, "opportunityid", 0.8, "2")]
+
+
+def test_scored_rows_are_not_stored(spark, monkeypatch):
+    """A row for every score is stored, and its counts tell the number of rows and whether scores are probabilities."""
+    from wayfold.catalog import modelling
+
+    labels, cut = [], modelling.metrics.cut
+    monkeypatch.setattr(modelling.metrics, "cut", lambda df, label="cut", **named: labels.append(label) or cut(df, label, **named))
+    scored = spark.createDataFrame([(1, 0.9), (0, 0.2), (0, 0.2), (None, 0.3)], "won int, pred_prob double")
+    assert modelling._invariants(scored, "p").first().asDict() == {"part": "p", "auc_above_half": True, "n_rows": 4, "in_range": True}
+    wrong = scored.union(spark.createDataFrame([(1, 1.5), (1, None)], scored.schema))
+    assert modelling._invariants(wrong, "p").first().asDict() == {"part": "p", "auc_above_half": True, "n_rows": 6, "in_range": False}
+    none = modelling._invariants(scored.where("false"), "p").first()
+    assert (none["n_rows"], none["in_range"]) == (0, None)
+    assert set(labels) <= {"score-counts"}
+
+
+def test_long_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from wayfold.storage import cut, drop
+
+    folders = [f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in [d]]
+
+    def shuffled():
+        from pathlib import Path
+
+        return {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+    rows = spark.range(100_000).selectExpr("id % 1000 AS k", "id").repartition(3, "k")
+    before = shuffled()
+    stored = cut(rows, tidy=True)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and stored.count() == 100_000
+    assert all(".zstd." in f for f in stored.inputFiles())
+    drop(stored)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(stored.inputFiles()[0])
