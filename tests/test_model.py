@@ -252,6 +252,7 @@ def test_training_rows_are_stored_once_with_the_columns_read(spark, monkeypatch,
         raise Stop
 
     stored, cut = {}, modelling.cut
+    monkeypatch.setattr(modelling, "FEW_ROWS", 0)
     monkeypatch.setattr(modelling, "cut", lambda df, label="cut", **named: stored.setdefault(label, cut(df, label, **named)))
     monkeypatch.setattr(model, "train_gbt", stop)
     with pytest.raises(Stop):
